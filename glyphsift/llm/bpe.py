@@ -162,7 +162,10 @@ class WordBpe:
         return sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
 
 
-tokenizer = functools.lru_cache(maxsize=4)(WordBpe)
+@functools.lru_cache(maxsize=4)
+def tokenizer(path: str) -> WordBpe:
+    """One tokenizer for each Python worker, so that tasks share its cache."""
+    return WordBpe(path)
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:

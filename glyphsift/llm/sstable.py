@@ -203,7 +203,10 @@ class CachedEncoder:
         return [self._library(cs)[0] if w else b"".join(map(get, cs)) for cs, w in zip(chunks, whole, strict=True)]
 
 
-encoder = functools.lru_cache(maxsize=4)(CachedEncoder)
+@functools.lru_cache(maxsize=4)
+def encoder(path: str) -> CachedEncoder:
+    """One encoder for each Python worker, so that tasks share its cache."""
+    return CachedEncoder(path)
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
