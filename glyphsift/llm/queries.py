@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, sstable
+from . import bpe, decontamination, licenses, simhash, sstable
 from .common import table
 
 
@@ -34,8 +34,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_sstable": op2_sstable, "op4_bpe": op4_bpe}
+    return {"op1_simhash": op1_simhash, "op2_sstable": op2_sstable, "op3_decontamination": op3_decontamination, "op4_bpe": op4_bpe, "op6_licenses": op6_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
