@@ -24,6 +24,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import BYTE_CHARS
 from .common import checkpoint_dir
 
 MAGIC, FOOTER = b"GSSTABLE", struct.Struct("<5Q2I8s")
@@ -163,9 +165,12 @@ class Reader:
         return np.frombuffer(value, f"<u{self.width}").astype("<u4")
 
 
-#: Where a text may be cut: before a run of spaces and line ends that follows something else. The
-#: pre-tokenizer starts anew there, given that the text holds no other white space.
-CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Where a text may be cut: before a run of spaces and line ends that follows something else, and between a
+#: letter or digit and a comma or full stop. The pre-tokenizer starts anew there, given that the text holds
+#: no other white space.
+CHUNK = re.compile(r"[ \n]*(?:[^ \n.,]++(?<=[^\W_])(?=[.,])|[^ \n]+)|[ \n]+")
+#: Chunks that are one word to the pre-tokenizer; the library's model takes them in the byte-level alphabet.
+WORD = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 OTHER_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -176,7 +181,7 @@ class CachedEncoder:
     emptied at `most` entries; that bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -184,7 +189,18 @@ class CachedEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.most, self.cache = most, {}
+        self.most, self.cache, self.code = most, {}, "H" if self.width == 2 else "I"
+
+    def _known(self, chunks: list[str]) -> None:
+        """Puts chunks into the cache. Plain words skip the library's splitting, which takes longer than its merges."""
+        tokenize, word, code, cache, rest = self.tokenizer.model.tokenize, WORD.fullmatch, self.code, self.cache, []
+        for c in chunks:
+            if word(c):
+                cache[c] = array(code, [t.id for t in tokenize(c.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+            else:
+                rest.append(c)
+        for at in range(0, len(rest), 4096):
+            cache.update(zip(rest[at : at + 4096], self._library(rest[at : at + 4096]), strict=True))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -195,10 +211,7 @@ class CachedEncoder:
             self.cache.clear()
         whole = [bool(t) and bool(OTHER_SPACE.search(t)) for t in texts]
         chunks = [[t] if w else CHUNK.findall(t or "") for t, w in zip(texts, whole, strict=True)]
-        missing = list({c for cs, w in zip(chunks, whole, strict=True) if not w for c in cs if c not in self.cache})
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            self.cache.update(zip(part, self._library(part), strict=True))
+        self._known(list(set().union(*(cs for cs, w in zip(chunks, whole, strict=True) if not w)).difference(self.cache)))
         get = self.cache.__getitem__
         return [self._library(cs)[0] if w else b"".join(map(get, cs)) for cs, w in zip(chunks, whole, strict=True)]
 
