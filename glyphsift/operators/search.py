@@ -92,7 +92,8 @@ def filters(
 def ranked(docs: DataFrame, start: int = 0, count: int | None = None) -> DataFrame:
     """Documents by best distance, ties by descending key, without the first `start` and at most count."""
     found = docs.orderBy(F.asc("best"), F.desc(encode_doi(F.col("doi")))).offset(start)
-    return found if count is None else found.limit(count)
+    # Spark counts an offset and a limit together in 32 bits.
+    return found if count is None or start + count >= 1 << 31 else found.limit(count)
 
 
 @dataclass(frozen=True)
@@ -103,7 +104,7 @@ class Arguments:
     searchTimeout: float = 10.0
     limit: int = 1000
     start: int = 0
-    count: int = (1 << 31) - 1
+    count: int = 1 << 31
     precision: float = 0.7
     containerID: str | None = None
     doi: str | None = None
@@ -139,14 +140,15 @@ def with_timeout(spark, seconds: float, action):
     """Runs action; its Spark jobs are cancelled after so many seconds (0: never), which raises TimedOut."""
     if seconds <= 0:
         return action()
-    tag, late = f"search-{uuid.uuid4().hex}", threading.Event()
+    sc = spark.sparkContext
+    group, late = f"search-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        sc.cancelJobGroup(group)
 
     timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    sc.setJobGroup(group, "search", interruptOnCancel=True)
     timer.start()
     try:
         return action()
@@ -156,7 +158,7 @@ def with_timeout(spark, seconds: float, action):
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        sc.setLocalProperty("spark.jobGroup.id", None)
 
 
 def results_xml(query: Query, rows: list) -> str:
