@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, bpe, decontamination, html, language, licenses, pieces, simhash, sstable, toxicity
+from . import balltree, bpe, decontamination, html, language, licenses, pieces, simhash, sql, sstable, toxicity
 from .common import table
 
 
@@ -62,25 +62,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-#: Highest inner products of the quantised vectors, ties to the smaller vec_id.
-OP8 = """
-WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-),
-s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-    FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
-),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
-"""
-
-
 def queries() -> dict[str, Query]:
     found = [op1_simhash, op2_sstable, op3_decontamination, op4_bpe, op5_html, op6_licenses, op7_toxicity, op8_balltree, op9_token_counts, op10_language]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_balltree": OP8}
+    return {"op3_decontamination": sql.leaks(), "op6_licenses": sql.license_scan(), "op8_balltree": sql.TOP_K}
