@@ -50,6 +50,29 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def scored(docs: DataFrame, make: Callable[[], Callable[[list], tuple[list, ...]]], schema: str, keep: bool = False) -> DataFrame:
+    """(doc_id, held_out) and what f, which make() returns, gives for the texts, in schema; if keep is set, all
+    columns of docs, whatever their names, as kept_0, kept_1 and so on, instead of those two."""
+    own = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(docs.columns)] if keep else [F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out")]
+    rows = docs.select(F.col("text").alias("_text"), *own)
+
+    def run_all():
+        f = make()
+        return lambda texts, *rest: (*rest, *f(texts))
+
+    return map_rows(rows, rows.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]) + ", " + schema, run_all, 64)
+
+
+def kept(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from rows that scored() kept."""
+    return rows.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """df with columns of its own, for a cogroup with what it shares an origin with."""
+    return df.select(*(F.col(f"`{c}`").alias(c) for c in df.columns))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model learns from: crc32 of the id as text, mod 3, is 1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows
-from .pieces import Pieces, best_path, forward, words_of
+from .common import held_out, kept, scored
+from .pieces import MARK, Pieces, best_path, forward, words_of
 
 #: Documents of each language to learn from, about, and at most of all; what each piece is counted besides.
 PER_LANGUAGE, MOST_ROWS, ALPHA = 300, 6000, 0.1
@@ -62,61 +64,58 @@ class LanguageModel:
         return out
 
 
+def _counter(path: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: dict[str, Counter] = {}
+        for b in batches:
+            for lang, text in zip(b["lang"], b["text"], strict=True):
+                words.setdefault(lang, Counter()).update(words_of(text))
+        own = pieces(path)
+        for lang, of in words.items():
+            counted = np.full(len(own.pieces), ALPHA)
+            for w, n in of.items():
+                np.add.at(counted, best_path(own, MARK + w), n)
+            yield pd.DataFrame({"lang": [lang], "counts": [counted.tobytes()]})
+
+    return run
+
+
 def train(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE, most: int = MOST_ROWS) -> LanguageModel:
     """Learns from a sample, by a hash of doc_id, of the rows with text and lang outside the held-out fold.
 
     A piece's probability in a language is its share of the pieces of the best segmentations of that
     language's words, counts raised by ALPHA. The sample has some per_language documents of each language, and
-    `most` altogether; only it comes to the driver.
+    `most` altogether, which fit in the one task that counts; the counts alone come to the driver.
     """
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = known.groupBy("lang").count()
     chance = F.least(F.lit(1.0), per_language / F.col("count"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
     sample = known.withColumn("draw", draw).join(F.broadcast(counts.orderBy(F.desc("count"), "lang").limit(10_000)), "lang").where(F.col("draw") < chance)
-    rows = sample.select("lang", "text", "draw", "doc_id").orderBy("draw", "doc_id", "lang", "text").limit(most).collect()
-    own = pieces(path)
-    words: dict[str, Counter] = {}
-    for r in rows:
-        words.setdefault(r.lang, Counter()).update(words_of(r.text))
-    languages = sorted(words)
-    counted = np.full((len(own.pieces), len(languages)), ALPHA)
-    paths: dict[str, list[int]] = {}
-    for k, lang in enumerate(languages):
-        for w, n in words[lang].items():
-            path_of = paths.get(w)
-            if path_of is None:
-                paths[w] = path_of = best_path(own, "▁" + w)
-            for i in path_of:
-                counted[i, k] += n
-    return LanguageModel(path, languages, counted / counted.sum(axis=0) if languages else counted)
-
-
-def identify(docs: DataFrame, path: str, keep: list[str] | None = None, model: LanguageModel | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row, from its whole text, and the columns of keep.
+    chosen = sample.select("lang", "text", "draw", "doc_id").orderBy("draw", "doc_id", "lang", "text").limit(most)
+    rows = chosen.select("lang", "text").repartition(1).mapInPandas(_counter(path), "lang string, counts binary").collect()
+    if not rows:
+        return LanguageModel(path, [], np.zeros((len(pieces(path).pieces), 0)))
+    languages = sorted(r.lang for r in rows)
+    counted = np.array([np.frombuffer(bytes(r.counts)) for r in sorted(rows, key=lambda r: r.lang)]).T
+    return LanguageModel(path, languages, counted / counted.sum(axis=0))
+
+
+def identify(docs: DataFrame, path: str, model: LanguageModel | None = None, keep: bool = False) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row, from its whole text; see scored() for keep.
 
     Texts that are null or have no letter are `und`, as is everything where there is nothing to learn from.
     Repeated rows are learnt from as often as they occur and give equal rows; an empty table gives none.
     """
     model = model or train(docs, path)
-    keep = keep or []
 
     def make():
         own = LanguageModel(model.path, model.languages, model.probabilities).start()
+        return lambda texts: tuple(zip(*own.predict(texts), strict=True)) or ((), ())
 
-        def run(*columns):
-            got = own.predict(columns[0])
-            return *columns[1:], [g[0] for g in got], [g[1] for g in got]
-
-        return run
-
-    rows = docs.select(F.col("text").alias("_text"), F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), *(c for c in keep if c != "doc_id"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]) + ", lang_pred string, score double"
-    return map_rows(rows, rows.columns, schema, make, 64)
+    return scored(docs, make, "lang_pred string, score double", keep)
 
 
 def keep_identified(docs: DataFrame, path: str, least: float = 0.5) -> DataFrame:
     """The rows of docs with a language that is at least so probable."""
-    kept = identify(docs.withColumn("_doc_id", F.col("doc_id")), path, keep=["_doc_id", *(c for c in docs.columns if c != "doc_id")])
-    kept = kept.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return kept.select(*(F.col("_doc_id").alias("doc_id") if c == "doc_id" else F.col(c) for c in docs.columns))
+    return kept(identify(docs, path, keep=True).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)), docs)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows
+from .common import held_out, kept, scored
 from .pieces import words_of
 
 #: Lengths of grams, of which a word is taken with a space on both sides; buckets that they are hashed into;
@@ -45,85 +47,96 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.5, decay: float = 1e-3) -> ToxicityModel:
+def _features(text: str, cache: dict[str, np.ndarray]) -> np.ndarray:
+    """Grams of a text's distinct words, each as often as words have it."""
+    if len(cache) > 50_000:
+        cache.clear()
+    parts = []
+    for w in set(words_of(text)):
+        if w not in cache:
+            cache[w] = np.array(list(grams(w)), np.int32)
+        parts.append(cache[w])
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+
+def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 1.0, decay: float = 1e-3) -> ToxicityModel:
     """Logistic regression, by AdaGrad over all documents at once, on how many distinct words of a document have
     a gram, times the gram's log ratio of smoothed shares of toxic and other documents' grams. Grams in few
-    documents, or of ratio near 0, are left out. With one class only, the score is that class's."""
+    documents, or of ratio near 0, are left out. With one class only, the score is that class's. Grams are
+    taken twice, to count and to pick from, so that only those that are picked are held for all documents."""
     toxic = np.array(labels, bool)
     weights = np.zeros(BUCKETS, np.float32)
     if not len(toxic) or toxic.all() or not toxic.any():
         return ToxicityModel(weights, 20.0 if len(toxic) and toxic.all() else -20.0)
     cache: dict[str, np.ndarray] = {}
-    docs = []
-    with_gram = np.zeros((2, BUCKETS))
+    with_gram = np.zeros((2, BUCKETS), np.int32)
     for text, t in zip(texts, toxic, strict=True):
-        parts = []
-        for w in set(words_of(text)):
-            if w not in cache:
-                cache[w] = np.array(list(grams(w)), np.int32)
-            parts.append(cache[w])
-        found, times = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int32), np.zeros(0, int))
-        docs.append((found.astype(np.int32), times.astype(np.float32)))
-        with_gram[int(t), found] += 1
-    smooth = with_gram + 1
-    ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
-    use = (with_gram.sum(axis=0) >= max(3, min(LEAST_DOCS, len(docs) // 130))) & (np.abs(ratio) >= 1)
-    column = np.cumsum(use) - 1
-    picks = [use[f] for f, _ in docs]
-    index = np.concatenate([column[f[p]] for (f, _), p in zip(docs, picks, strict=True)])
-    value = np.concatenate([t[p] * ratio[f[p]].astype(np.float32) for (f, t), p in zip(docs, picks, strict=True)])
-    row = np.repeat(np.arange(len(docs)), [int(p.sum()) for p in picks])
-    w, b = np.zeros(int(use.sum())), float(np.log(toxic.mean() / (1 - toxic.mean())))
+        with_gram[int(t), np.unique(_features(text, cache))] += 1
+    ratio = np.log((with_gram[1] + 1) / (with_gram[1] + 1).sum()) - np.log((with_gram[0] + 1) / (with_gram[0] + 1).sum())
+    use = (with_gram.sum(axis=0) >= max(3, min(LEAST_DOCS, len(texts) // 130))) & (np.abs(ratio) >= 1)
+    column, picked = np.where(use, np.cumsum(use) - 1, -1).astype(np.int32), ratio[use].astype(np.float32)
+    index, value, sizes = [], [], []
+    for text in texts:
+        found = column[_features(text, cache)]
+        found, times = np.unique(found[found >= 0], return_counts=True)
+        index.append(found)
+        value.append(times.astype(np.float32) * picked[found])
+        sizes.append(len(found))
+    index, value, row = np.concatenate(index), np.concatenate(value), np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    w, b = np.zeros(len(picked)), float(np.log(toxic.mean() / (1 - toxic.mean())))
     seen_w, seen_b = np.full(len(w), 1e-8), 1e-8
     for _ in range(rounds):
-        margin = b + np.bincount(row, value * w[index], minlength=len(docs))
+        margin = b + np.bincount(row, value * w[index], minlength=len(texts))
         error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - toxic
-        step = np.bincount(index, value * error[row], minlength=len(w)) / len(docs) + decay * w
+        step = np.bincount(index, value * error[row], minlength=len(w)) / len(texts) + decay * w
         step_b = error.mean()
         seen_w += step**2
         seen_b += step_b**2
         w -= rate * step / np.sqrt(seen_w)
         b -= rate * step_b / np.sqrt(seen_b)
-    weights[use] = w * ratio[use]
+    weights[use] = w * picked
     return ToxicityModel(weights, float(b))
 
 
+def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = sorted((i, t, x) for b in batches for i, t, x in zip(b["doc_id"], b["toxic"], b["text"], strict=True))
+    model = fit([r[2] for r in rows], [int(r[1]) for r in rows])
+    yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> ToxicityModel:
-    """Learns from the `most` labelled rows outside the held-out fold that come first by a hash of doc_id; only
-    they come to the driver. Labels that are null count for nothing; a document with two counts twice."""
+    """Learns from the `most` labelled rows outside the held-out fold that come first by a hash of doc_id, in one
+    task, as that many fit there; the weights alone come to the driver. Labels that are null count for nothing;
+    a document with two labels counts twice."""
     marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    # The rows are chosen by their ids alone; the choice has a bounded size, and so has what it picks.
-    chosen = marked.join(docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "toxic").limit(most)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()
-    rows = sorted((r.doc_id, r.toxic, r.text) for r in rows)[: 2 * most]
-    return fit([r[2] for r in rows], [r[1] for r in rows])
+    # The rows are chosen by their ids alone; the choice has a bounded size, and so has what it picks.
+    chosen = marked.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "toxic").limit(most)
+    got = texts.join(F.broadcast(chosen), "doc_id").repartition(1).mapInPandas(_fitted, "weights binary, bias double").collect()
+    return ToxicityModel(np.frombuffer(bytes(got[0].weights), np.float32), got[0].bias) if got else fit([], [])
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, model: ToxicityModel | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row, from its whole text, and the columns of keep.
+def score(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None, keep: bool = False) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row, from its whole text; see scored() for keep.
 
     Null texts score as empty ones do. Repeated rows give equal rows; an empty table gives none, and without
     labels every score is near 0.
     """
     model = model or train(docs, labels)
-    weights, bias, keep = model.weights, model.bias, keep or []
+    weights, bias = model.weights, model.bias
 
     def make():
         own = ToxicityModel(weights, bias).start()
 
-        def run(*columns):
-            got = [own.score(t) for t in columns[0]]
-            return *columns[1:], got, [int(g >= TOXIC) for g in got]
+        def run(texts):
+            got = [own.score(t) for t in texts]
+            return got, [int(g >= TOXIC) for g in got]
 
         return run
 
-    rows = docs.select(F.col("text").alias("_text"), F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), *(c for c in keep if c != "doc_id"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]) + ", score double, predicted int"
-    return map_rows(rows, rows.columns, schema, make, 64)
+    return scored(docs, make, "score double, predicted int", keep)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted to be toxic."""
-    kept = score(docs.withColumn("_doc_id", F.col("doc_id")), labels, keep=["_doc_id", *(c for c in docs.columns if c != "doc_id")])
-    return kept.where("predicted = 0").select(*(F.col("_doc_id").alias("doc_id") if c == "doc_id" else F.col(c) for c in docs.columns))
+    return kept(score(docs, labels, keep=True).where("predicted = 0"), docs)
