@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, fresh
 
 #: Vectors of a shard, queries of a block, and vectors of a leaf.
 SHARD, QUERIES, LEAF = 8192, 1024, 64
@@ -136,7 +136,7 @@ def top_k(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     home = F.pmod(F.col("block"), F.lit(shards))
     task = ["dim", "shard", "block"]
     schema = "query_id bigint, vec_id bigint, score bigint"
-    seek = lambda q, v: q.groupBy(*task).cogroup(v.groupBy(*task)).applyInPandas(_search(k), schema)
+    seek = lambda q, v: q.groupBy(*task).cogroup(fresh(v).groupBy(*task)).applyInPandas(_search(k), schema)
     first = checkpointed(seek(queries.withColumn("shard", home).withColumn("floor", F.lit(None).cast("double")), vectors.where(F.col("shard") == home)))
     ordered = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = first
