@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, drop_repeats, map_rows
+from .common import checkpointed, drop_repeats, fresh, map_rows
 from .components import components
 
 #: Bits of a segment, of which a fingerprint has two; and differing bits of linked fingerprints, of which
@@ -102,7 +102,7 @@ def links(reps: DataFrame) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     left = lookups.select("slot", F.col("fp_a").alias("fp"), F.col("a").alias("rep")).join(large, "slot").withColumn("i", mine).withColumn("j", every)
     right = slots.join(large, "slot").withColumn("j", mine).withColumn("i", every)
-    blocks = left.groupBy("slot", "i", "j").cogroup(right.groupBy("slot", "i", "j"))
+    blocks = left.groupBy("slot", "i", "j").cogroup(fresh(right).groupBy("slot", "i", "j"))
     dense = blocks.applyInPandas(lambda a, b: pd.DataFrame(_forest(a, b), columns=["a", "b"], dtype="int64"), "a bigint, b bigint")
     return plain.union(dense)
 
@@ -122,10 +122,12 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, and once each."""
+    """The rows of docs whose doc_id is the smallest of its component, and once each. Rows without a doc_id stay,
+    as none of their group can be told from the others."""
     first = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["kept_id"], "left_semi")
-    return drop_repeats(kept, "doc_id")
+    named = docs.where(F.col("doc_id").isNotNull())
+    kept = named.join(first, named["doc_id"] == first["kept_id"], "left_semi")
+    return drop_repeats(kept, "doc_id").union(docs.where(F.col("doc_id").isNull()))
 
 
 def hex_digits(fp: Column) -> Column:

@@ -95,8 +95,8 @@ def test_components_of_chains_and_loops(spark):
 
 
 def test_near_dedup(spark, none, docs):
-    rows = [(5, prose(50, 9)), (3, prose(50, 9)), (3, prose(50, 9)), (8, "other words here")]
-    assert sorted(r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()) == [3, 8]
+    rows = [(5, prose(50, 9)), (3, prose(50, 9)), (3, prose(50, 9)), (8, "other words here"), (None, "words without an id")]
+    assert sorted(r.doc_id or -1 for r in simhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()) == [-1, 3, 8]
     assert simhash.near_dedup(none).count() == simhash.simhash_components(none).count() == 0
     assert simhash.near_dedup(docs).columns == docs.columns
     assert [tuple(r) for r in simhash.simhash_components(spark.createDataFrame([(None, "a"), (None, "b"), (4, "a")], DOCS)).where("doc_id IS NULL").select("component_id").orderBy("component_id").collect()] == [(None,), (4,)]
