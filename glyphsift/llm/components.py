@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     the number of edges and a sum of their hashes come to the driver, to see that a round changed nothing.
     An empty graph gives an empty result. Loops, repeated edges and edges with a null end are left out.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a != b").distinct()
+    # What gives the edges is run once, not in each of the plans that read them.
+    e = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a != b").distinct())
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
