@@ -165,23 +165,27 @@ class Reader:
         return np.frombuffer(value, f"<u{self.width}").astype("<u4")
 
 
-#: Where a text may be cut: before a run of spaces and line ends that follows something else, and between a
-#: letter or digit and a comma or full stop. The pre-tokenizer starts anew there, given that the text holds
-#: no other white space.
-CHUNK = re.compile(r"[ \n]*(?:[^ \n.,]++(?<=[^\W_])(?=[.,])|[^ \n]+)|[ \n]+")
-#: Chunks that are one word to the pre-tokenizer; the library's model takes them in the byte-level alphabet.
-WORD = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: ASCII and Latin letters, and the pre-tokens of such text as the byte-level pre-tokenizer has them (a fixed
+#: pattern, with what starts alike together).
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+SIMPLE = re.compile(f"[ \n!-~{LATIN}]+")
+PRETOKEN = re.compile(rf" ?[{LATIN}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s0-9{LATIN}]+|\s+(?!\S)|\s+")
+#: Where other text may be cut: before a run of spaces and line ends that follows something else. The
+#: pre-tokenizer starts anew there, given that the text holds no other white space.
+CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class CachedEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each chunk once while the cache holds it.
+    """Ids of whole texts by the tokenizers library, which sees each word once while the cache holds it.
 
-    Texts with white space other than spaces and line ends are given to the library whole. The cache is
-    emptied at `most` entries; that bounds memory and changes no result.
+    Simple text is split here, as the library's splitting takes longer than its merges, and its words go to the
+    library's model in the byte-level alphabet. Other text is cut into chunks, and those that aren't simple
+    go to the library as they are; text with white space of other kinds does so whole. Words are kept in two
+    generations, of which the older one goes when the younger has `most`; that changes no result.
     """
 
-    def __init__(self, path: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -189,31 +193,48 @@ class CachedEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.most, self.cache, self.code = most, {}, "H" if self.width == 2 else "I"
-
-    def _known(self, chunks: list[str]) -> None:
-        """Puts chunks into the cache. Plain words skip the library's splitting, which takes longer than its merges."""
-        tokenize, word, code, cache, rest = self.tokenizer.model.tokenize, WORD.fullmatch, self.code, self.cache, []
-        for c in chunks:
-            if word(c):
-                cache[c] = array(code, [t.id for t in tokenize(c.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
-            else:
-                rest.append(c)
-        for at in range(0, len(rest), 4096):
-            cache.update(zip(rest[at : at + 4096], self._library(rest[at : at + 4096]), strict=True))
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        self.most, self.words, self.older, self.chunks, self.code = most, {}, {}, {}, "H" if self.width == 2 else "I"
+
+    def _library(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        tokenize, code, older = self.tokenizer.model.tokenize, self.code, self.older.get
+        for w in words.difference(self.words):
+            self.words[w] = older(w) or array(code, [t.id for t in tokenize(w.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+
+    def _simple(self, text: str) -> bool:
+        return bool(SIMPLE.fullmatch(text)) and not self.added(text)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if self._simple(chunk):
+            words = PRETOKEN.findall(chunk)
+            self._learn(set(words))
+            return b"".join(map(self.words.__getitem__, words))
+        found = self.chunks.get(chunk)
+        if found is None:
+            self.chunks[chunk] = found = self._library(chunk)
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, `width` bytes each; a null text has none."""
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        whole = [bool(t) and bool(OTHER_SPACE.search(t)) for t in texts]
-        chunks = [[t] if w else CHUNK.findall(t or "") for t, w in zip(texts, whole, strict=True)]
-        self._known(list(set().union(*(cs for cs, w in zip(chunks, whole, strict=True) if not w)).difference(self.cache)))
-        get = self.cache.__getitem__
-        return [self._library(cs)[0] if w else b"".join(map(get, cs)) for cs, w in zip(chunks, whole, strict=True)]
+        if len(self.words) > self.most:
+            self.older, self.words = self.words, {}
+        if len(self.chunks) > 100_000:
+            self.chunks.clear()
+        split = [PRETOKEN.findall(t) if t and self._simple(t) else None for t in texts]
+        self._learn(set().union(*filter(None, split)))
+        get, found = self.words.__getitem__, []
+        for t, words in zip(texts, split, strict=True):
+            if words is not None:
+                found.append(b"".join(map(get, words)))
+            elif t and OTHER_SPACE.search(t):
+                found.append(self._library(t))
+            else:
+                found.append(b"".join(map(self._chunk, CHUNK.findall(t or ""))))
+        return found
 
 
 @functools.lru_cache(maxsize=4)
