@@ -78,7 +78,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def drop_repeats(df: DataFrame, key: str) -> DataFrame:
+def drop_repeats(df: DataFrame, *key: str) -> DataFrame:
     """One row for each key. The rows are shuffled only where a key does repeat."""
-    repeats = df.groupBy(key).count().where("count > 1")
-    return df if repeats.isEmpty() else df.dropDuplicates([key])
+    repeats = df.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1")
+    return df if repeats.isEmpty() else df.dropDuplicates([*key])

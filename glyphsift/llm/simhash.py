@@ -8,7 +8,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, drop_repeats, fresh, map_rows
+from . import jaccard
+from .common import checkpointed, drop_repeats, fresh, kept, map_rows
 from .components import components
 
 #: Bits of a segment, of which a fingerprint has two; and differing bits of linked fingerprints, of which
@@ -122,12 +123,15 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, and once each. Rows without a doc_id stay,
-    as none of their group can be told from the others."""
-    first = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    """The rows of docs that are the first, by doc_id, of their group of near copies (see jaccard), and once each.
+    The query's links at MOST bits play no part, as most near copies lie further apart. Rows without a doc_id
+    stay, as none of their group can be told from the others."""
+    first = jaccard.firsts(docs).select("node.*")
     named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(first, named["doc_id"] == first["kept_id"], "left_semi")
-    return drop_repeats(kept, "doc_id").union(docs.where(F.col("doc_id").isNull()))
+    own = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(docs.columns)]
+    rows = named.select(*own, jaccard.node_of(named).alias("node")).select("*", "node.*").drop("node")
+    rows = drop_repeats(rows.join(fresh(first), ["doc_id", "key"], "left_semi"), "doc_id", "key")
+    return kept(rows, docs).union(docs.where(F.col("doc_id").isNull()))
 
 
 def hex_digits(fp: Column) -> Column:

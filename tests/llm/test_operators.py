@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from glyphsift.llm import balltree, bpe, components, decontamination, html, language, licenses, pieces, simhash, sstable, toxicity
+from glyphsift.llm import balltree, bpe, components, decontamination, html, jaccard, language, licenses, pieces, simhash, sstable, toxicity
 from glyphsift.llm.queries import tokenizer_path
 
 DOCS = "doc_id bigint, text string"
@@ -102,6 +102,32 @@ def test_near_dedup(spark, none, docs):
     assert [tuple(r) for r in simhash.simhash_components(spark.createDataFrame([(None, "a"), (None, "b"), (4, "a")], DOCS)).where("doc_id IS NULL").select("component_id").orderBy("component_id").collect()] == [(None,), (4,)]
 
 
+def similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("block", [1, 64])
+def test_near_dedup_of_planted_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "DENSE", 3)
+    r, texts = random.Random(12), []
+    for k in range(30):
+        base = prose(150, 1000 + k).split()
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 4, 5, 12):
+            at = set(r.sample(range(150), changes))
+            texts.append(" ".join("changed" if i in at else w for i, w in enumerate(base)))
+    up = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if up[i] != up[j] and i // 7 == j // 7 and similarity(texts[i], texts[j]) >= 0.8:
+            up = [min(up[i], up[j]) if u in (up[i], up[j]) else u for u in up]
+    want = sorted(set(up))
+    assert 30 < len(want) < 210
+    got = simhash.near_dedup(clashing(spark.createDataFrame([*enumerate(texts)], DOCS))).collect()
+    assert sorted(x.doc_id for x in got) == want
+
+
 # Tokens
 
 
