@@ -21,16 +21,39 @@ UNITS = "mm cm m km inch inches foot feet yard yards mile miles metre metres met
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 
+#: Stands between the parts of a value of several tokens: a letter, so that the value is one token.
+JOIN = "\ua78f"
+_START, _END, _WORD = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])", f"(?i:{'|'.join(sorted(NUMBERS, key=len, reverse=True))})"
+_CAPITAL = r"[\p{Lu}\p{Lt}](?:[\p{L}\p{N}&&[^\p{Lu}\p{Lt}]])*+"
+_JOINED = [
+    (rf"{_START}([0-9]+)[.,'’](?=[0-9])", f"$1{JOIN}"),
+    (rf"{_START}([0-9][\p{{L}}\p{{N}}]*+|{_WORD}{_END})(?:[\s-]+|(?<=(?i:hundred|thousand|million|billion))\s+and\s+)(?={_WORD}{_END})", f"$1{JOIN}"),
+    (rf"{_START}(?!{_WORD}{_END})({_CAPITAL})(?:[ \t]+|['’-])(?=(?!{_WORD}{_END}){_CAPITAL}{_END})", f"$1{JOIN}"),
+]
+
+
+def whole_values(text: Column) -> Column:
+    """text with the parts of numbers (decimals, thousands, number words in a row) and of runs of capitalised
+    words put together by JOIN."""
+    text = F.translate(text, JOIN, " ")
+    for pattern, to in _JOINED:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, as written."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+"), "")
 
 
-def canonical(token: Column) -> Column:
+def canonical(token: Column, joined: bool = False) -> Column:
     """A token's place in a template: a typed placeholder for what starts with a digit or is a number in words,
-    for units, and for capitalised words; else the token in lower case."""
+    for units, and for capitalised words; else the token in lower case. With joined, whole_values() are one."""
     first, low = F.substring(token, 1, 1), F.lower(token)
     rest = F.substring(token, 2, 1 << 30)
+    if joined:
+        value = F.when(first.between("0", "9") | F.substring_index(low, JOIN, 1).isin(NUMBERS), NUM).otherwise(NAME)
+        return F.when(token.contains(JOIN), value).otherwise(canonical(token))
     return (
         F.when(first.between("0", "9") | low.isin(NUMBERS), NUM)
         .when(low.isin(UNITS), UNIT)
@@ -39,7 +62,7 @@ def canonical(token: Column) -> Column:
     )
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
+def _hashed(rows: DataFrame, joined: bool) -> DataFrame:
     """Adds the hashes of the words in lower case, and of canonical() of them, from which the former are spared."""
     of = lambda *xs: [F.xxhash64(F.lit(x)) for x in xs]
     rows = rows.withColumn("low", F.transform("w", F.lower)).withColumn("raw", F.transform("low", lambda t: F.xxhash64(t)))
@@ -48,7 +71,11 @@ def _hashed(rows: DataFrame) -> DataFrame:
         low, raw, rest = F.get("low", i), F.get("raw", i), F.substring(t, 2, 1 << 30)
         # What isn't in lower case as a whole and is so without its first letter is capitalised.
         name = (low != t) & (rest == F.lower(rest))
-        return F.when(((t >= "0") & (t < ":")) | raw.isin(of(*NUMBERS)), of(NUM)[0]).when(raw.isin(of(*UNITS)), of(UNIT)[0]).when(name, of(NAME)[0]).otherwise(raw)
+        if joined:
+            of_first = F.xxhash64(F.substring_index(low, JOIN, 1)).isin(of(*NUMBERS))
+            value = F.when(((t >= "0") & (t < ":")) | of_first, of(NUM)[0]).otherwise(of(NAME)[0])
+        found = F.when(((t >= "0") & (t < ":")) | raw.isin(of(*NUMBERS)), of(NUM)[0]).when(raw.isin(of(*UNITS)), of(UNIT)[0]).when(name, of(NAME)[0]).otherwise(raw)
+        return F.when(t.contains(JOIN), value).otherwise(found) if joined else found
 
     return rows.withColumn("tpl", F.transform("w", hashed)).drop("low")
 
@@ -68,7 +95,7 @@ def _windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
     return at.withColumn("v", F.explode(F.array(*found))).select("*", "v.*").drop("v").where("window IS NOT NULL")
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, joined: bool = False) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, coverage, kind) for every document that holds an item.
 
     Windows of words and of templates are joined by hash with those of the items and compared by their words.
@@ -80,13 +107,18 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Null and empty texts and items give no rows; neither do empty tables. Rows with one doc_id or one item_id
     are taken together. Other columns play no part.
+
+    With joined, whole_values() count as one word, in documents and items alike: a value of another number of
+    tokens then leaves the diagonal as it is.
     """
-    parts = _hashed(items.select("item_id", tokens(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w")))
+    words = lambda: tokens(whole_values(F.col("text")) if joined else F.col("text"))
+    place = lambda t: canonical(t, joined)
+    parts = _hashed(items.select("item_id", words().alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w")), joined)
     lengths = [r[0] for r in parts.select(F.least("n", F.lit(WINDOW))).distinct().collect()] or [WINDOW]
     mine = _windows(parts, lengths).where(F.col("k") == F.least("n", F.lit(WINDOW)))
     mine = mine.select("window", "item_id", "n", "k", "template", F.col("at").alias("item_at"), F.slice("w", F.col("at") + 1, F.col("k")).alias("item_w"))
     small = mine.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    theirs = _windows(_hashed(docs.select("doc_id", tokens(F.col("text")).alias("w"))), lengths).select("doc_id", "at", "window", "w")
+    theirs = _windows(_hashed(docs.select("doc_id", words().alias("w")), joined), lengths).select("doc_id", "at", "window", "w")
     if not small:
         # Windows that no item has go before words are attached to the rest.
         theirs = theirs.select("doc_id", "at", "window", F.slice("w", F.col("at") + 1, max(lengths)).alias("w"), F.lit(0).alias("from"))
@@ -94,8 +126,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         theirs = theirs.withColumn("from", F.col("at"))
     joined = theirs.join(F.broadcast(mine) if small else mine, "window")
     joined = joined.select("doc_id", "at", "item_id", "n", "k", "template", "item_at", "item_w", F.slice("w", F.col("from") + 1, F.col("k")).alias("doc_w"))
-    form = lambda w: F.when(F.col("template"), F.transform(w, canonical)).otherwise(F.transform(w, F.lower))
-    pairs = F.filter(F.arrays_zip(F.transform("item_w", F.lower).alias("i"), F.transform("doc_w", F.lower).alias("d"), F.transform("item_w", canonical).alias("c")), lambda p: p["c"].isin(NUM, UNIT, NAME))
+    form = lambda w: F.when(F.col("template"), F.transform(w, place)).otherwise(F.transform(w, F.lower))
+    pairs = F.filter(F.arrays_zip(F.transform("item_w", F.lower).alias("i"), F.transform("doc_w", F.lower).alias("d"), F.transform("item_w", place).alias("c")), lambda p: p["c"].isin(NUM, UNIT, NAME))
     # As a value, not a filter: a filter would become a condition of the join and take it out of generated code.
     same = form(F.col("item_w")) == form(F.col("doc_w"))
     met = joined.withColumn("diagonal", F.col("at") - F.col("item_at")).withColumn("slots", F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))).withColumn("same", same)
@@ -116,6 +148,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item."""
-    held = leaks(docs, items).select(F.col("doc_id").alias("leaked_id")).distinct()
+    """The rows of docs that hold no item, with its tokens as they are or with whole_values() as one word."""
+    held = leaks(docs, items).select("doc_id").union(leaks(docs, items, joined=True).select("doc_id"))
+    held = held.select(F.col("doc_id").alias("leaked_id")).distinct()
     return docs.join(held, docs["doc_id"] == held["leaked_id"], "left_anti")

@@ -329,6 +329,31 @@ def test_leaks(spark, none):
     assert decontamination.leaks(none, items).count() == decontamination.leaks(df, items.limit(0)).count() == 0
 
 
+def test_values_of_other_lengths(spark):
+    numbers = "the farmer sold 12 crates of ripe pears on market day and kept 7 for winter then bought 30 new trees with money left"
+    names = "on the first morning Anna walked along the old canal with a heavy bag until Tom came by and took it home"
+    spelled = "a shop had twenty red lamps in store when the doors opened and only nine of them were left by noon that day"
+    put = lambda text, *pairs: " ".join(dict(pairs).get(w, w) for w in text.split())
+    rows = [
+        (1, put(numbers, ("12", "1,200"), ("7", "3,000"), ("30", "2.5"))),
+        (2, prose(60, 1) + ". " + put(names, ("Anna", "Mary Ann"), ("Tom", "Jean-Luc Brown"))),
+        (3, put(spelled, ("twenty", "twenty five"), ("nine", "one hundred and two"))),
+        (4, put(numbers, ("12", "Anna Lee"), ("7", "two words"), ("30", "red ones"))),
+        (5, prose(200, 2) + " Mary Ann 1,200 twenty five"),
+        (6, numbers.upper()),
+        (7, names),
+    ]
+    df = clashing(spark.createDataFrame(rows, DOCS))
+    items = spark.createDataFrame(list(enumerate([numbers, names, spelled])), "item_id bigint, text string")
+    assert sorted(r.doc_id for r in decontamination.decontaminate(df, items).collect()) == [4, 5]
+    # Values keep their agreement: one that changes between places is another one.
+    twice = "Anna saw 12 birds over the hill then 12 more birds by the lake and Anna went home before dark with Tom"
+    other = put(twice, ("12", "1,200"), ("Anna", "Mary Ann"), ("Tom", "Bob"))
+    df = spark.createDataFrame([(1, other), (2, other.replace("then 1,200", "then 1,300"))], DOCS)
+    got = decontamination.decontaminate(df, spark.createDataFrame([(1, twice)], "item_id bigint, text string"))
+    assert [r.doc_id for r in got.collect()] == [2]
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(1, prose(20, 1) + " " + ITEM)], DOCS)
     items = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
