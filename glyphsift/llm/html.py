@@ -24,6 +24,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe sidebar sidenav rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus respond replies share sharing social related recommended pagination pager login signin signup search skip".split()
 )
+#: Of these, elements that never have article text; those that, like the words after them, are no wrapper of one
+#: however much text they hold.
+NEVER = frozenset("button select input head script style template object canvas svg".split()) | RAW
+NO_WRAPPER = frozenset("nav footer aside menu dialog label".split())
+NO_WRAPPER_WORDS = frozenset("comment comments disqus respond replies cookie cookies consent gdpr newsletter popup modal related recommended".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd dt figcaption".split()) | HEADINGS
 
@@ -33,26 +38,35 @@ PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 
 class Node:
-    __slots__ = ("children", "keep", "links", "parent", "score", "size", "tag")
+    __slots__ = ("children", "foreign", "keep", "links", "parent", "score", "size", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, keep: bool) -> None:
-        self.tag, self.parent, self.keep, self.children, self.score, self.size, self.links = tag, parent, keep, [], 0.0, 0, 0
+    def __init__(self, tag: str, parent: Node | None, keep: bool, foreign: int = 0) -> None:
+        self.tag, self.parent, self.keep, self.foreign, self.children, self.score, self.size, self.links = tag, parent, keep, foreign, [], 0.0, 0, 0
 
 
-def _wanted(tag: str, attributes: str, within: bool) -> bool:
-    """False for an element that its kind, role, class or id shows not to belong to an article. A header
-    within an article is its own and stays."""
-    if tag in NOT_ARTICLE and not (tag == "header" and within):
-        return False
+#: What an element is by its kind, role, class or id: part of an article, foreign to one unless it turns out to be
+#: about it, foreign unless nothing else is there or an article is in it, or never shown.
+OWN, FOREIGN, ASIDE, UNSEEN = range(4)
+
+
+def _kind(tag: str, attributes: str, within: bool) -> int:
+    """A header within an article is its own."""
+    if tag in NEVER:
+        return UNSEEN
+    exempt = tag in ("html", "body", "article", "main") or tag == "header" and within
+    kind = OWN if exempt or tag not in NOT_ARTICLE else ASIDE if tag in NO_WRAPPER else FOREIGN
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return True
+        return kind
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
-            return False
-        if name in ("class", "id") and any(p.lower() in WORDS for p in PART.findall(value)):
-            return False
-    return True
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return UNSEEN
+        if name == "role" and value.lower() in ROLES:
+            kind = max(kind, FOREIGN if value.lower() == "form" else ASIDE)
+        if name in ("class", "id") and not exempt:
+            words = {p.lower() for p in PART.findall(value)}
+            kind = max(kind, ASIDE if words & NO_WRAPPER_WORDS else FOREIGN if words & WORDS else OWN)
+    return kind
 
 
 def parse(page: str) -> Node:
@@ -93,7 +107,8 @@ def parse(page: str) -> Node:
                     pop()
                 k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in BLOCK or not i)
         within = bool(open_tags.get("article") or open_tags.get("main"))
-        node = Node(tag, stack[-1], stack[-1].keep and _wanted(tag, attributes, within))
+        kind = _kind(tag, attributes, within)
+        node = Node(tag, stack[-1], stack[-1].keep and kind != UNSEEN, kind)
         if node.keep:
             stack[-1].children.append(node)
         if tag in RAW:
@@ -114,6 +129,38 @@ def _walk(root: Node) -> list[Node]:
     return found
 
 
+def _prune(root: Node) -> None:
+    """Takes out foreign elements with all below them. One stays, and what is below it is looked at in turn, that
+    holds the page's only articles, or, unless its kind or name rules that out, over half of the page's text
+    outside links and five times what is left outside of foreign elements."""
+    nodes = _walk(root)
+    plain, articles = {}, {}
+    for node in reversed(nodes):
+        inner = [c for c in node.children if isinstance(c, Node)]
+        own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        plain[node] = 0 if node.tag == "a" else own + sum(plain[c] for c in inner)
+        articles[node] = node.tag in ("article", "main") or any(articles[c] for c in inner)
+    outside, has_article, work = 0, False, [root]
+    while work:
+        node = work.pop()
+        inner = [c for c in node.children if isinstance(c, Node)]
+        has_article |= node.tag in ("article", "main")
+        if node.tag != "a":
+            outside += plain[node] - sum(plain[c] for c in inner)
+            work += [c for c in inner if c.foreign == OWN]
+    work = [root]
+    while work:
+        node = work.pop()
+        stay = []
+        for c in node.children:
+            if isinstance(c, str) or c.foreign == OWN:
+                stay.append(c)
+            elif not has_article and (articles[c] or c.foreign == FOREIGN and 2 * plain[c] > plain[root] and plain[c] > 5 * outside):
+                stay.append(c)
+        node.children = stay
+        work += [c for c in stay if isinstance(c, Node)]
+
+
 def _score(nodes: list[Node]) -> None:
     """Sizes of texts and of links' texts below each node, and points: a paragraph, or what has text of its
     own, passes 1, 1 for each comma and 1 for each hundred characters, to its parent, half as many to that
@@ -175,11 +222,17 @@ def main_text(page: str | None) -> str:
 
     The best container is the node with most points, or the article or main element about it. Its siblings
     stay if they have a fifth of its points, or are headings or paragraphs with few links. Where nothing has
-    points, all that isn't left out as foreign is kept. Null and empty pages give the empty text.
+    points, all that isn't left out as foreign is kept; where nothing is left, foreign elements are kept too. A
+    sibling div or section stays with fewer points, too, if it has paragraphs. Null and empty pages give the empty text.
     """
     if not page:
         return ""
     root = parse(page)
+    _prune(root)
+    return _main(root) or _main(parse(page))
+
+
+def _main(root: Node) -> str:
     nodes = _walk(root)
     _score(nodes)
     best = max(nodes, key=lambda n: n.score)
@@ -193,7 +246,7 @@ def main_text(page: str | None) -> str:
         return "\n".join(_blocks(best))
     kept = []
     for x in best.parent.children:
-        if x is best or isinstance(x, Node) and x.size and x.links / x.size < 0.25 and (x.tag in PARAGRAPHS and x.tag != "li" or x.score >= best.score / 5):
+        if x is best or isinstance(x, Node) and x.size and x.links / x.size < 0.25 and (x.tag in PARAGRAPHS and x.tag != "li" or x.score >= best.score / 5 or x.tag in ("div", "section") and any(isinstance(c, Node) and c.tag == "p" and c.size for c in x.children)):
             kept += _blocks(x)
     return "\n".join(kept)
 

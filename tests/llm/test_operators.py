@@ -278,6 +278,22 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="layout no-sidebar"><nav>m</nav><article><p>One, two.</p></article><div class="comments"><p>no</p></div></div>', "One, two."),
+        ('<form id="aspnetForm"><div class="menu"><a href="/">m</a></div><div><p>One, two, three.</p><p>Four.</p></div></form><footer>f</footer>', "One, two, three.\nFour."),
+        ('<div class="page-header-fixed"><p>Some text, of a page.</p><aside>y</aside></div>', "Some text, of a page."),
+        ('<article><header class="entry-header"><h1>Title</h1></header><p>Text.</p></article>', "Title\nText."),
+        ("<aside><p>All there is.</p></aside>", "All there is."),
+        ('<article><p>Own.</p></article><div class="related"><article><p>Other, much longer than the own one, by far.</p></article></div>', "Own."),
+        ("<div><div>" + "<p>Long, long, long, long, long.</p>" * 9 + "</div><div><p>Short.</p></div></div>", "\n".join(["Long, long, long, long, long."] * 9 + ["Short."])),
+    ],
+)
+def test_main_text_in_foreign_wrappers(page, text):
+    assert html.main_text(page) == text
+
+
 def test_extract(spark):
     rows = [(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (None, None, None)]
     got = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(0))).collect()
