@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, kept
+from .jaccard import node_of
 from .windows import window_hash
 
 #: Words of a window (items with fewer words have one window of them all), and literal ones that a window
@@ -148,7 +150,9 @@ def leaks(docs: DataFrame, items: DataFrame, joined: bool = False) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item, with its tokens as they are or with whole_values() as one word."""
-    held = leaks(docs, items).select("doc_id").union(leaks(docs, items, joined=True).select("doc_id"))
-    held = held.select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(held, docs["doc_id"] == held["leaked_id"], "left_anti")
+    """The rows of docs that hold no item, with its tokens as they are or with whole_values() as one word. Rows are
+    told apart by doc_id and text, so that those without a doc_id, or with one that others have, go by their own text."""
+    own = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*own, "text", node_of(docs).alias("doc_id"))
+    held = leaks(rows, items).select("doc_id").union(leaks(rows, items, joined=True).select("doc_id"))
+    return kept(rows.join(fresh(held.distinct()), "doc_id", "left_anti"), docs)

@@ -370,6 +370,16 @@ def test_values_of_other_lengths(spark):
     assert [r.doc_id for r in got.collect()] == [2]
 
 
+def test_rows_that_share_or_lack_a_doc_id(spark):
+    rows = [(1, prose(60, 1)), (1, prose(60, 2)), (1, prose(60, 2)), (2, prose(60, 1)), (3, ITEM), (3, prose(60, 3)), (None, ITEM), (None, prose(60, 4)), (None, None)]
+    df = clashing(spark.createDataFrame(rows, DOCS))
+    items = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    as_rows = lambda found: sorted(((r.doc_id, r.text) for r in found.collect()), key=repr)
+    assert as_rows(decontamination.decontaminate(df, items)) == sorted((r for r in rows if r[1] != ITEM), key=repr)
+    near = [rows[0], rows[1], rows[4], rows[5], *rows[6:]]
+    assert as_rows(simhash.near_dedup(df)) == sorted(near, key=repr)
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(1, prose(20, 1) + " " + ITEM)], DOCS)
     items = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
