@@ -92,7 +92,8 @@ def train(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE, most: in
     chance = F.least(F.lit(1.0), per_language / F.col("count"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
     sample = known.withColumn("draw", draw).join(F.broadcast(counts.orderBy(F.desc("count"), "lang").limit(10_000)), "lang").where(F.col("draw") < chance)
-    chosen = sample.select("lang", "text", "draw", "doc_id").orderBy("draw", "doc_id", "lang", "text").limit(most)
+    # A row's rank among its language's, about, so that the bound cuts all languages alike.
+    chosen = sample.select("lang", "text", (F.col("draw") * F.col("count")).alias("draw"), "doc_id").orderBy("draw", "doc_id", "lang", "text").limit(most)
     rows = chosen.select("lang", "text").repartition(1).mapInPandas(_counter(path), "lang string, counts binary").collect()
     if not rows:
         return LanguageModel(path, [], np.zeros((len(pieces(path).pieces), 0)))

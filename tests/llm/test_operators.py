@@ -239,6 +239,13 @@ def test_language(spark, docs, none):
     assert language.identify(none.withColumn("lang", F.lit("en")), PIECE).count() == 0
 
 
+def test_bound_cuts_languages_alike(spark):
+    rows = [(k, "the house", "en") for k in range(3000)] + [(5000 + k, "les eaux", "fr") for k in range(3000)] + [(9000 + k, "한국어 말", "ko") for k in range(60)]
+    model = language.train(spark.createDataFrame(rows, DOCS + ", lang string"), PIECE, per_language=60, most=30)
+    assert model.languages == ["en", "fr", "ko"]
+    assert [lang for lang, _ in model.start().predict(["the house", "les eaux", "한국어 말"])] == model.languages
+
+
 def test_toxicity(spark, docs, none):
     rows = [(k, prose(40, k) + (" You IDIOT!" if k % 4 == 0 else "")) for k in range(300)]
     df = clashing(spark.createDataFrame(rows, DOCS))
