@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 
@@ -17,179 +18,209 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
-#: Elements, roles and words of classes and ids of what isn't an article.
-NOT_ARTICLE = frozenset("nav header footer aside form button select input label fieldset head script style template object canvas svg dialog menu".split()) | RAW
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p pre blockquote td li dd dt figcaption".split()) | HEADINGS
+#: Elements that never have article text, and those and the roles that speak against it.
+NEVER = frozenset("button select input head script style template object canvas svg".split()) | RAW
+AGAINST = frozenset("nav header footer aside form label fieldset dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+#: Words of names that speak against an element, if all of the name's other words are mere fillers.
 WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe sidebar sidenav rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus respond replies share sharing social related recommended pagination pager login signin signup search skip".split()
+    "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsors sponsored promo promotion promotions banner banners cookie cookies consent gdpr notice notices notification notifications popup modal overlay newsletter subscribe subscription sidebar sidenav rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus respond reply replies share sharing social related recommended pagination pager login signin signup search skip".split()
 )
-#: Of these, elements that never have article text; those that, like the words after them, are no wrapper of one
-#: however much text they hold.
-NEVER = frozenset("button select input head script style template object canvas svg".split()) | RAW
-NO_WRAPPER = frozenset("nav footer aside menu dialog label".split())
-NO_WRAPPER_WORDS = frozenset("comment comments disqus respond replies cookie cookies consent gdpr newsletter popup modal related recommended".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-PARAGRAPHS = frozenset("p pre blockquote td li dd dt figcaption".split()) | HEADINGS
+FILLERS = frozenset("area articles article bar block blocks body bottom box button buttons col column container entry footer form global group head holder icons id inner item items js left link links list main outer page panel post posts primary reader readers right row secondary section site slot stories text thread title top unit user users wrap wrapper zone".split())
+#: What is no part of an article however long it is: elements, and words of names.
+ALWAYS = frozenset("nav footer aside dialog menu".split())
+ALWAYS_WORDS = frozenset("comment comments disqus respond reply replies cookie cookies consent gdpr newsletter popup modal related recommended".split())
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*\Z", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>=]++|=)*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
+#: How far an element's kind and names speak against it: not at all, some of them, all of them, so much that its
+#: length is no excuse, or it is never shown.
+OWN, DOUBTFUL, FOREIGN, EVER, UNSEEN = range(5)
+#: What points count for that come through such an element.
+WEIGHTS = (1.0, 0.5, 0.2, 0.1)
+
 
 class Node:
-    __slots__ = ("children", "foreign", "keep", "links", "parent", "score", "size", "tag")
+    __slots__ = ("children", "kind", "links", "parent", "score", "shown", "size", "tag", "titled")
 
-    def __init__(self, tag: str, parent: Node | None, keep: bool, foreign: int = 0) -> None:
-        self.tag, self.parent, self.keep, self.foreign, self.children, self.score, self.size, self.links = tag, parent, keep, foreign, [], 0.0, 0, 0
+    def __init__(self, tag: str, parent: Node | None, kind: int = OWN) -> None:
+        self.tag, self.parent, self.kind, self.children = tag, parent, kind, []
+        self.shown, self.titled, self.score, self.size, self.links = kind != UNSEEN and (parent is None or parent.shown), False, 0.0, 0, 0
 
 
-#: What an element is by its kind, role, class or id: part of an article, foreign to one unless it turns out to be
-#: about it, foreign unless nothing else is there or an article is in it, or never shown.
-OWN, FOREIGN, ASIDE, UNSEEN = range(4)
+@functools.lru_cache(maxsize=10_000)
+def _named(name: str) -> int:
+    """What one name from a class or id says."""
+    words = {p.lower() for p in PART.findall(name)}
+    if not words & WORDS or words - WORDS - FILLERS:
+        return OWN
+    return EVER if words & ALWAYS_WORDS else FOREIGN
 
 
 def _kind(tag: str, attributes: str, within: bool) -> int:
-    """A header within an article is its own."""
+    """A header within an article is its own, whatever its name. Of several names of a paragraph one that says
+    nothing leaves a doubt."""
     if tag in NEVER:
         return UNSEEN
     exempt = tag in ("html", "body", "article", "main") or tag == "header" and within
-    kind = OWN if exempt or tag not in NOT_ARTICLE else ASIDE if tag in NO_WRAPPER else FOREIGN
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+    kind = OWN if exempt or tag not in AGAINST else EVER if tag in ALWAYS else FOREIGN
+    if not attributes.strip() or tag in ("html", "body"):
         return kind
+    names = []
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return UNSEEN
-        if name == "role" and value.lower() in ROLES:
-            kind = max(kind, FOREIGN if value.lower() == "form" else ASIDE)
+        if name == "role" and value.lower() in ROLES and not exempt:
+            kind = max(kind, FOREIGN)
         if name in ("class", "id") and not exempt:
-            words = {p.lower() for p in PART.findall(value)}
-            kind = max(kind, ASIDE if words & NO_WRAPPER_WORDS else FOREIGN if words & WORDS else OWN)
-    return kind
+            names += [_named(x) for x in value.split()]
+    said = max(names, default=OWN)
+    return max(kind, DOUBTFUL if said and tag in PARAGRAPHS and OWN in names else said)
+
+
+@functools.lru_cache(maxsize=32)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])", re.I)
 
 
 def parse(page: str) -> Node:
     """The page's tree. Elements that are left open end with their parents or where HTML ends them; end tags
-    without a start, comments, declarations, and tags cut off by the page's end are dropped."""
-    root = Node("#root", None, True)
-    at, stack, open_tags = 0, [root], {}
+    without a start, comments, declarations, and tags cut off by the page's end are dropped. The open elements'
+    places are kept by kind, so that no tag is looked for in the stack and time grows with the page's length."""
+    root = Node("#root", None)
+    at, stack, blocks, places = 0, [root], [0], {}
 
-    def pop() -> None:
-        open_tags[stack.pop().tag] -= 1
+    def close(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+            if blocks[-1] == len(stack):
+                blocks.pop()
 
     def text(chunk: str) -> None:
-        if chunk and stack[-1].keep:
+        if chunk and stack[-1].shown:
             stack[-1].children.append(entities.unescape(chunk))
 
     while m := TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
-        closing, tag, attributes = m[1], (m[2] or "").lower(), m[3] or ""
-        if not tag:
+        tag = (m[2] or "").lower()
+        if not tag or not m[4]:
             continue
-        if closing:
-            if open_tags.get(tag):
-                if tag in BLOCK or not any(n.tag in BLOCK for n in stack[next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag or stack[i].tag in BLOCK) :]):
-                    while stack[-1].tag != tag:
-                        pop()
-                    pop()
+        if m[1]:
+            # An end tag of a part of a line doesn't reach over a block that is open in it.
+            if places.get(tag) and (tag in BLOCK or places[tag][-1] > blocks[-1]):
+                close(places[tag][-1])
             continue
-        if tag in BLOCK and open_tags.get("p"):
-            k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in BLOCK or not i)
-            if stack[k].tag == "p":
-                while len(stack) > k:
-                    pop()
-        if tag in ENDS:
-            k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in BLOCK or not i)
-            while stack[k].tag in ENDS[tag]:
-                while len(stack) > k:
-                    pop()
-                k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in BLOCK or not i)
-        within = bool(open_tags.get("article") or open_tags.get("main"))
-        kind = _kind(tag, attributes, within)
-        node = Node(tag, stack[-1], stack[-1].keep and kind != UNSEEN, kind)
-        if node.keep:
+        if tag in BLOCK and stack[blocks[-1]].tag == "p":
+            close(blocks[-1])
+        while stack[blocks[-1]].tag in ENDS.get(tag, ()):
+            close(blocks[-1])
+        node = Node(tag, stack[-1], _kind(tag, m[3], bool(places.get("article") or places.get("main"))))
+        if node.shown:
             stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
+            end = _raw_end(tag).search(page, at)
+            at = page.find(">", end.end()) + 1 if end else 0
+            if not at:
+                return root
+        elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCK):
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
-            open_tags[tag] = open_tags.get(tag, 0) + 1
     text(page[at:])
     return root
 
 
+def _inner(node: Node) -> list[Node]:
+    return [c for c in node.children if isinstance(c, Node)]
+
+
+def _own(node: Node) -> str:
+    return " ".join(" ".join(c.split()) for c in node.children if isinstance(c, str)).strip()
+
+
 def _walk(root: Node) -> list[Node]:
     """Every node, each after its parent."""
     found = [root]
     for node in found:
-        found += [c for c in node.children if isinstance(c, Node)]
+        found += _inner(node)
     return found
 
 
-def _prune(root: Node) -> None:
-    """Takes out foreign elements with all below them. One stays, and what is below it is looked at in turn, that
-    holds the page's only articles, or, unless its kind or name rules that out, over half of the page's text
-    outside links and five times what is left outside of foreign elements."""
+def density(node: Node) -> float:
+    return node.links / node.size if node.size else 0.0
+
+
+def measure(root: Node) -> list[Node]:
+    """Every node, with the sizes of the texts and of the links' texts below it, and its points.
+
+    A paragraph, or what has text of its own, passes 1, 1 for each comma and 1 for each hundred characters, less the
+    share of links in it, to its parent, half as many to that one's, then a third and so on for five levels. They
+    count for less by the kind of what the paragraph is in. What a node has got is lessened by its own share of links.
+    """
     nodes = _walk(root)
-    plain, articles = {}, {}
-    for node in reversed(nodes):
-        inner = [c for c in node.children if isinstance(c, Node)]
-        own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
-        plain[node] = 0 if node.tag == "a" else own + sum(plain[c] for c in inner)
-        articles[node] = node.tag in ("article", "main") or any(articles[c] for c in inner)
-    outside, has_article, work = 0, False, [root]
-    while work:
-        node = work.pop()
-        inner = [c for c in node.children if isinstance(c, Node)]
-        has_article |= node.tag in ("article", "main")
-        if node.tag != "a":
-            outside += plain[node] - sum(plain[c] for c in inner)
-            work += [c for c in inner if c.foreign == OWN]
-    work = [root]
-    while work:
-        node = work.pop()
-        stay = []
-        for c in node.children:
-            if isinstance(c, str) or c.foreign == OWN:
-                stay.append(c)
-            elif not has_article and (articles[c] or c.foreign == FOREIGN and 2 * plain[c] > plain[root] and plain[c] > 5 * outside):
-                stay.append(c)
-        node.children = stay
-        work += [c for c in stay if isinstance(c, Node)]
-
-
-def _score(nodes: list[Node]) -> None:
-    """Sizes of texts and of links' texts below each node, and points: a paragraph, or what has text of its
-    own, passes 1, 1 for each comma and 1 for each hundred characters, to its parent, half as many to that
-    one's, then a third and so on, less the share of links in what it passes them to."""
     for node in reversed(nodes):
-        own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
-        node.size += own
+        node.size += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        node.titled |= node.tag in ("h1", "h2")
         if node.tag == "a":
             node.links = node.size
         if node.parent:
             node.parent.size += node.size
             node.parent.links += node.links
+            node.parent.titled |= node.titled
+    weight = {root: 1.0}
+    for node in nodes[1:]:
+        weight[node] = weight[node.parent] * WEIGHTS[node.kind]
     for node in nodes:
-        own = " ".join(c.strip() for c in node.children if isinstance(c, str)).strip()
-        if not node.size or not (node.tag in PARAGRAPHS or own and node.tag in BLOCK):
+        own = _own(node) if node.size and (node.tag in PARAGRAPHS or node.tag in BLOCK) else ""
+        if not node.size or not (node.tag in PARAGRAPHS or own):
             continue
         # A block with text between its inner blocks is its own container.
-        level, up = 1, node.parent if node.tag in PARAGRAPHS else node
-        points = 1 + own.count(",") + node.size / 100 if node.tag in PARAGRAPHS else 1 + own.count(",") + len(own) / 100
-        points *= 1 - node.links / node.size
+        level, up, length = 1, node.parent if node.tag in PARAGRAPHS else node, node.size if node.tag in PARAGRAPHS else len(own)
+        points = (1 + own.count(",") + length / 100) * (1 - density(node)) * weight[node]
         while up is not None and level < 6:
             up.score += points / level
             up, level = up.parent, level + 1
     for node in nodes:
-        if node.size:
-            node.score *= 1 - node.links / node.size
+        node.score *= 1 - density(node)
+    return nodes
+
+
+def _container(nodes: list[Node]) -> Node | None:
+    """The node with most points, or the article or main element about it; none if no node has any. Where articles
+    stand that no foreign element is about, it is one of those or in one."""
+    inside, plain = {}, {}
+    for node in nodes:
+        plain[node] = node.kind < FOREIGN and (node.parent is None or plain[node.parent])
+        inside[node] = plain[node] and (node.tag in ("article", "main") or node.parent is not None and inside[node.parent])
+    best = max([n for n in nodes if inside[n] and n.score > 0] or nodes, key=lambda n: n.score)
+    if best.score <= 0:
+        return next((n for n in nodes if inside[n] and n.size), None)
+    about = best
+    while about is not None and about.tag not in ("article", "main"):
+        about = about.parent
+    return about or best
+
+
+def _belongs(node: Node, best: Node) -> bool:
+    """Whether an element in the container is the article's, as its length or its links say: one that only its name or kind
+    speaks against stays if it has most of the text, or a title and few links."""
+    if node.kind == OWN or not node.size:
+        return True
+    linked = density(node) >= 0.5
+    if node.kind == FOREIGN:
+        return not linked and (2 * (node.size - node.links) > best.size - best.links or node.titled and best.tag in ("article", "main"))
+    return node.kind == DOUBTFUL and not linked
 
 
-def _blocks(node: Node) -> list[str]:
+def _blocks(node: Node, shows=lambda _: True) -> list[str]:
     """Texts of the lines below a node: what stands between the starts and ends of its block elements."""
     lines, line = [], []
 
@@ -206,7 +237,7 @@ def _blocks(node: Node) -> list[str]:
             line.append(x)
         elif done:
             end()
-        else:
+        elif x is node or shows(x):
             if x.tag == "br":
                 line.append(" ")
             if x.tag in BLOCK or x.tag == "#root":
@@ -217,43 +248,42 @@ def _blocks(node: Node) -> list[str]:
     return lines
 
 
+def _beside(x: Node, best: Node) -> bool:
+    """Whether a sibling of the container is part of the article."""
+    if x.kind >= FOREIGN or not x.size or density(x) >= 0.25:
+        return False
+    return x.tag in PARAGRAPHS and x.tag != "li" or x.score >= best.score / 5 or x.tag in ("div", "section") and any(c.tag == "p" and c.size for c in _inner(x))
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, one to a line, white space within each turned into single spaces.
 
-    The best container is the node with most points, or the article or main element about it. Its siblings
-    stay if they have a fifth of its points, or are headings or paragraphs with few links. Where nothing has
-    points, all that isn't left out as foreign is kept; where nothing is left, foreign elements are kept too. A
-    sibling div or section stays with fewer points, too, if it has paragraphs. Null and empty pages give the empty text.
+    The best container is the node with most points, or the article or main element about it. In it, only what is
+    foreign by its kind or name, and by its length or links as well, is left out; comments and menus are however long
+    they are. Its siblings stay if they aren't foreign, have few links, and are headings, paragraphs or have some, or a fifth
+    of its points. Where nothing has points, all but foreign elements is kept; where nothing is left, those are
+    kept too. Null and empty pages give the empty text. Time grows with the page's length, whatever its markup.
     """
     if not page:
         return ""
     root = parse(page)
-    _prune(root)
-    return _main(root) or _main(parse(page))
-
-
-def _main(root: Node) -> str:
-    nodes = _walk(root)
-    _score(nodes)
-    best = max(nodes, key=lambda n: n.score)
-    if best.score <= 0:
-        return "\n".join(_blocks(root))
-    about = best
-    while about is not None and about.tag not in ("article", "main"):
-        about = about.parent
-    best = about or best
+    best = _container(measure(root))
+    if best is None:
+        return "\n".join(_blocks(root, lambda x: x.kind < FOREIGN) or _blocks(root))
+    shows = lambda x: _belongs(x, best)
     if best.parent is None or best.tag in ("body", "html"):
-        return "\n".join(_blocks(best))
+        return "\n".join(_blocks(best, shows) or _blocks(best))
     kept = []
     for x in best.parent.children:
-        if x is best or isinstance(x, Node) and x.size and x.links / x.size < 0.25 and (x.tag in PARAGRAPHS and x.tag != "li" or x.score >= best.score / 5 or x.tag in ("div", "section") and any(isinstance(c, Node) and c.tag == "p" and c.size for c in x.children)):
-            kept += _blocks(x)
-    return "\n".join(kept)
+        if x is best or isinstance(x, Node) and _beside(x, best):
+            kept += _blocks(x, shows)
+    return "\n".join(kept or _blocks(root))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row. Rows are independent: repeated ones give equal rows, an empty
-    table gives none, and other columns play no part."""
+    """(page_id, url, text, n_chars) of every row. Rows are independent: repeated ones give equal rows, null and
+    empty pages the empty text, an empty table no rows; very long pages are taken whole, and other columns, whatever their
+    names, play no part."""
 
     def make():
         def run(ids, urls, pages):
