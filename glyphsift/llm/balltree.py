@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh
+from ..shared import checkpointed, fresh
 
 #: Vectors of a shard, queries of a block, and vectors of a leaf.
 SHARD, QUERIES, LEAF = 8192, 1024, 64

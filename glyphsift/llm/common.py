@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -10,22 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed, fresh
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate data: spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphsift-"))
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+#: Keys, of some 50 bytes each, up to which without() broadcasts them.
+BROADCAST_KEYS = 500_000
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., Any]], step: int = 256) -> DataFrame:
@@ -68,17 +60,25 @@ def kept(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
-def fresh(df: DataFrame) -> DataFrame:
-    """df with columns of its own, for a cogroup with what it shares an origin with."""
-    return df.select(*(F.col(f"`{c}`").alias(c) for c in df.columns))
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model learns from: crc32 of the id as text, mod 3, is 1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def drop_repeats(df: DataFrame, *key: str) -> DataFrame:
-    """One row for each key. The rows are shuffled only where a key does repeat."""
-    repeats = df.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1")
-    return df if repeats.isEmpty() else df.dropDuplicates([*key])
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key isn't in gone(key). Up to BROADCAST_KEYS of them, which are counted, are broadcast, so that
+    the rows stay where they are; more are joined by a shuffle."""
+    gone = checkpointed(gone.select(key).distinct())
+    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(fresh(gone)) if few else fresh(gone), key, "left_anti")
+
+
+def once(rows: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
+    """rows with but one for each of repeated(key), the least by a hash of its columns; no other row moves."""
+    repeated = checkpointed(repeated)
+    if repeated.isEmpty():
+        return rows
+    parts = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    first = rows.join(fresh(repeated), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns if c != key)), F.xxhash64(*parts)).alias("_row"))
+    chosen = first.select(*(F.col(key) if c == key else F.col("_row")[c].alias(c) for c in rows.columns))
+    return without(rows, repeated, key).union(chosen)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from ..shared import checkpointed
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, kept
+from .common import kept, without
 from .jaccard import node_of
 from .windows import window_hash
 
@@ -150,9 +150,13 @@ def leaks(docs: DataFrame, items: DataFrame, joined: bool = False) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item, with its tokens as they are or with whole_values() as one word. Rows are
-    told apart by doc_id and text, so that those without a doc_id, or with one that others have, go by their own text."""
+    """The rows of docs that hold no item, with its tokens as they are or with whole_values() as one word.
+
+    Rows are told apart by doc_id and text, so that those without a doc_id, or with one that others have, go by
+    their own text; rows with both alike stay or go together. Null and empty texts hold nothing; empty tables
+    of documents give no rows, those of items leave all. Other columns are kept, whatever their names.
+    """
     own = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*own, "text", node_of(docs).alias("doc_id"))
     held = leaks(rows, items).select("doc_id").union(leaks(rows, items, joined=True).select("doc_id"))
-    return kept(rows.join(fresh(held.distinct()), "doc_id", "left_anti"), docs)
+    return kept(without(rows, held, "doc_id"), docs)

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed, fresh
 from . import jaccard
-from .common import checkpointed, drop_repeats, fresh, kept, map_rows
+from .common import kept, map_rows, once, without
 from .components import components
 
 #: Bits of a segment, of which a fingerprint has two; and differing bits of linked fingerprints, of which
 #: by the pigeonhole principle one segment has one at most.
 SEGMENT, MOST = 32, 3
-#: Fingerprints of one table slot beyond which its candidates are compared in blocks.
-BLOCK = 512
+#: Fingerprints of one table slot beyond which it is divided further.
+BLOCK = 64
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -58,54 +61,87 @@ def _slots(fp: Column) -> Column:
     return F.array(fp.bitwiseAND(F.lit((1 << SEGMENT) - 1)), F.shiftrightunsigned(fp, SEGMENT).bitwiseOR(F.lit(1 << SEGMENT)))
 
 
-def _forest(a: pd.DataFrame, b: pd.DataFrame) -> list[tuple[int, int]]:
-    """Edges of two blocks that connect whatever the links between them connect: a spanning forest."""
-    x, y = a["fp"].to_numpy().astype("u8"), b["fp"].to_numpy().astype("u8")
-    ids = [*a["rep"], *b["rep"]]
-    up = list(range(len(ids)))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-    edges = []
-    for i in range(len(x)):
-        for j in np.flatnonzero(np.bitwise_count(x[i] ^ y) <= MOST):
-            p, q = root(i), root(len(x) + int(j))
-            if p != q:
-                up[p] = q
-                edges.append((ids[i], ids[len(x) + int(j)]))
-    return edges
+def _balls(bits: int, most: int) -> np.ndarray:
+    """Masks of up to `most` of so many bits."""
+    masks = [0]
+    for k in range(1, most + 1):
+        masks += [sum(1 << b for b in c) for c in itertools.combinations(range(bits), k)]
+    return np.array(masks)
+
+
+def _forest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """Edges that connect whatever the links between two sets connect, whose fingerprints are equal within each but
+    for 16 bits: each with the least of those it is connected to, found by passing minima over the Hamming ball until
+    nothing changes. Work and memory are bounded by the 2 ** 16 values, not by the number of pairs."""
+    if not len(a) or not len(b):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    none, free = np.iinfo(np.int64).max, int(a["free"].iloc[0])
+    sides = []
+    for rows in (a, b):
+        value = (rows["fp"].to_numpy() >> free) & 0xFFFF
+        label = np.full(1 << 16, none)
+        label[value] = rows["rep"].to_numpy()
+        sides.append((value, rows["rep"].to_numpy(), label))
+    (va, ra, la), (vb, rb, lb) = sides
+    masks, there = _balls(16, MOST - int(a["spent"].iloc[0])), (la != none, lb != none)
+    while True:
+        before = la.copy(), lb.copy()
+        for own, other, label, ok in ((va, vb, la, there[1]), (vb, va, lb, there[0])):
+            source = lb if label is la else la
+            for m in masks:
+                met = ok[own ^ m]
+                label[own[met]] = np.minimum(label[own[met]], source[own[met] ^ m])
+        if (la == before[0]).all() and (lb == before[1]).all():
+            break
+    found = pd.DataFrame({"a": np.r_[ra, rb], "b": np.r_[la[va], lb[vb]]})
+    return found[found["a"] != found["b"]]
 
 
 def links(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) between rows (fp, rep), fp distinct, of fingerprints at MOST differing bits or fewer.
+    """Edges (a, b) between rows (fp, rep), fp and rep distinct, that connect what links of MOST differing bits connect.
 
     A row is in the table of each segment at that segment's value. It looks up, in each, the ball of radius
     one about its value; of two values a bit apart, the one with the bit at 0 looks up the other, so that
-    half a ball does. Whatever is fetched is verified over all 64 bits. Slots of over BLOCK rows give no
-    pairs: rows and lookups are dealt into blocks, and each pair of blocks gives a spanning forest of its
-    links, which connects the same documents.
+    half a ball does. Whatever is fetched is verified over all 64 bits.
+
+    A slot of over BLOCK rows is divided by the halves of the other segment, one of which differs in one bit at most
+    as well: its rows are in a table of each half, and its lookups look up the ball there. Where over BLOCK rows
+    have 48 bits in common still, the 16 others are searched by their Hamming balls, and give a forest (_forest()) in
+    place of all links. So no slot's work grows with the square of its rows.
     """
     slots = reps.select("fp", "rep", F.explode(_slots(F.col("fp"))).alias("slot"))
     masks = F.array(*(F.lit(m).cast("bigint") for m in [0, *(1 << k for k in range(SEGMENT))]))
     ball = F.transform(F.filter(masks, lambda m: F.col("slot").bitwiseAND(m) == 0), lambda m: F.col("slot").bitwiseXOR(m))
-    lookups = slots.select(F.explode(ball).alias("slot"), F.col("fp").alias("fp_a"), F.col("rep").alias("a"), (F.col("slot")).alias("own"))
+    lookups = slots.select(F.explode(ball).alias("slot"), F.col("fp").alias("fp_a"), F.col("rep").alias("a"), F.col("slot").alias("own"))
     found = slots.select("slot", F.col("fp").alias("fp_b"), F.col("rep").alias("b"))
     near = (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= MOST) & ((F.col("own") != F.col("slot")) | (F.col("fp_a") < F.col("fp_b")))
-    large = checkpointed(slots.groupBy("slot").count().where(F.col("count") > BLOCK))
+    large = checkpointed(slots.groupBy("slot").count().where(F.col("count") > BLOCK).select("slot"))
     if large.isEmpty():
         return lookups.join(found, "slot").where(near).select("a", "b")
-    large = large.select("slot", F.ceil(F.col("count") / BLOCK).alias("blocks"))
     plain = lookups.join(found.join(large, "slot", "left_anti"), "slot").where(near).select("a", "b")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    left = lookups.select("slot", F.col("fp_a").alias("fp"), F.col("a").alias("rep")).join(large, "slot").withColumn("i", mine).withColumn("j", every)
-    right = slots.join(large, "slot").withColumn("j", mine).withColumn("i", every)
-    blocks = left.groupBy("slot", "i", "j").cogroup(fresh(right).groupBy("slot", "i", "j"))
-    dense = blocks.applyInPandas(lambda a, b: pd.DataFrame(_forest(a, b), columns=["a", "b"], dtype="int64"), "a bigint, b bigint")
-    return plain.union(dense)
+    # The other segment is the upper one for slots of the lower one's table.
+    lower = F.shiftright("slot", SEGMENT) == 0
+    half = lambda fp, k: F.when(lower, F.shiftrightunsigned(fp, SEGMENT + 16 * k)).otherwise(F.shiftrightunsigned(fp, 16 * k)).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+    halves = lambda fp: F.explode(F.array(*(F.struct(F.lit(k).alias("half"), half(fp, k).alias("value")) for k in (0, 1))))
+    rows = found.join(large, "slot").select("slot", "fp_b", "b", halves(F.col("fp_b")).alias("h")).select("slot", "h.*", "fp_b", "b")
+    small_ball = F.array(*(F.lit(m).cast("bigint") for m in [0, *(1 << k for k in range(16))]))
+    seek = lookups.join(large, "slot").select("slot", "own", "fp_a", "a", halves(F.col("fp_a")).alias("h")).select("slot", "own", "fp_a", "a", "h.half", F.col("h.value").alias("own_value"))
+    seek = seek.select("*", F.explode(F.transform(small_ball, lambda m: F.col("own_value").bitwiseXOR(m))).alias("value"))
+    key = ["slot", "half", "value"]
+    dense = checkpointed(rows.groupBy(*key).count().where(F.col("count") > BLOCK).select(*key))
+    if dense.isEmpty():
+        return plain.union(seek.join(rows, key).where(near).select("a", "b"))
+    divided = seek.join(rows.join(fresh(dense), key, "left_anti"), key).where(near).select("a", "b")
+    # Both sides of a task have 48 bits in common each, and 65,536 rows at most.
+    within = [*key, "own", "own_value"]
+    # Between two slots, or two values, a bit apart the other direction is looked up as well, or is the same.
+    spent = F.bit_count(F.col("own").bitwiseXOR(F.col("slot"))) + F.bit_count(F.col("own_value").bitwiseXOR(F.col("value")))
+    free = F.when(lower, SEGMENT).otherwise(0) + F.when(F.col("half") == 0, 16).otherwise(0)
+    left = seek.join(fresh(dense), key).where(spent <= MOST).select(*within, F.col("fp_a").alias("fp"), F.col("a").alias("rep"), spent.cast("int").alias("spent"), free.cast("int").alias("free"))
+    pairs = left.select(*within).distinct()
+    right = fresh(rows).join(pairs, key).select(*within, F.col("fp_b").alias("fp"), F.col("b").alias("rep"))
+    trees = left.groupBy(*within).cogroup(fresh(right).groupBy(*within)).applyInPandas(_forest, "a bigint, b bigint")
+    return plain.union(divided).union(trees)
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -124,14 +160,18 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first, by doc_id, of their group of near copies (see jaccard), and once each.
-    The query's links at MOST bits play no part, as most near copies lie further apart. Rows without a doc_id
-    stay, as none of their group can be told from the others."""
-    first = jaccard.firsts(docs).select("node.*")
-    named = docs.where(F.col("doc_id").isNotNull())
+
+    Rows are told apart by doc_id and text: those that share the former keep all their texts, and of rows with both
+    alike one stays. The query's links at MOST bits play no part, as most near copies lie further apart. Rows without a
+    doc_id stay, as none of their group can be told from the others; null and wordless texts are copies of one another.
+    Of texts with as small an id the one with the smaller hash is the first. An empty table gives no rows; other
+    columns are kept, whatever their names.
+    """
+    gone, repeated = jaccard.decisions(docs)
     own = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(docs.columns)]
-    rows = named.select(*own, jaccard.node_of(named).alias("node")).select("*", "node.*").drop("node")
-    rows = drop_repeats(rows.join(fresh(first), ["doc_id", "key"], "left_semi"), "doc_id", "key")
-    return kept(rows, docs).union(docs.where(F.col("doc_id").isNull()))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(*own, jaccard.node_of(docs).alias("node"))
+    stay = once(without(rows, gone, "node"), repeated, "node")
+    return kept(stay, docs).union(docs.where(F.col("doc_id").isNull()))
 
 
 def hex_digits(fp: Column) -> Column:

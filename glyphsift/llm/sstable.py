@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import BYTE_CHARS
-from .common import checkpoint_dir
+from ..shared import folder as shared_folder
 
 MAGIC, FOOTER = b"GSSTABLE", struct.Struct("<5Q2I8s")
 BLOCK_BYTES, BLOOM_BITS, BLOOM_PROBES = 1 << 16, 10, 7
@@ -322,5 +322,5 @@ def read_shards(spark: SparkSession, folder: str, manifest: list[tuple[int, int,
 def token_table(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes shards to a new folder in the shared one and reads them back. An empty table gives no rows."""
     spark = docs.sparkSession
-    folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     return read_shards(spark, folder, write_shards(docs, folder, tokenizer))
