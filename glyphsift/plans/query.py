@@ -11,8 +11,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from ..functions import latex
 from ..functions.sequences import cutoff, fragments, substring_distance
-from ..functions.tokens import lex, plain_text
 
 
 class QueryParseError(ValueError):
@@ -42,9 +42,9 @@ Preprocess = Callable[[str], tuple[list[str], str]]
 
 
 def preprocess(fragment: str) -> tuple[list[str], str]:
-    """Tokens and canonical text of a fragment in LaTeX."""
-    tokens = lex(fragment)
-    return tokens, plain_text(tokens)
+    """Tokens and canonical text of a fragment in LaTeX; BadLatex where its braces don't match."""
+    nodes = latex.parse(fragment)
+    return latex.flat(nodes), latex.canonical(nodes)
 
 
 def words(text: str) -> list[str]:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import keys, sequences, tokens
+from .functions import keys, latex, sequences, tokens
 from .functions.sequences import cutoff
 from .operators import postings, search, tables
 from .plans.query import And, Atom, Query, parse
@@ -356,23 +356,36 @@ def similarity_join(spark, sf_dir):
     return postings.similarity_join(search.equations(names, tokens.character_tokens(F.col("s"))), wrong, ["s"])
 
 
-#: Formulae, their tokens and canonical text.
-LATEX = [
-    (r"\frac{a}{b}", r"C:frac T:a T:b", r"\frac a b"),
-    (r"$x^2_i$", r"T:x C:active::^ T:2 C:active::_ T:i", r"x ^ 2 _ i"),
-    (r"\alpha \text{if so} + \textbf{A b}", r"C:alpha T:if so T:+ C:textbf T:A b", r"\alpha if so + \textbf A b"),
-    (r"\begin{align} a &= b \end{align}", r"T:a T:= T:b", r"a = b"),
-    (r"\begin{pmatrix} 1 \end{pmatrix}", r"C:pmatrix T:1", r"\pmatrix 1"),
-    (r"\left\{ y \rm z", r"C:left C:{ T:y T:z", r"\left \{ y z"),
-    ("", "", ""),
-]
+# Formulae made of parts: sizes, brands, types and names in them, every seventh with a brace too many.
+FORMULA = "concat('\\\\frac{', p_size, '}{\\\\text{', p_brand, '}} % ', p_type, '\\n^', substr(p_name, 1, 1), '\\\\sqrt[', p_size, ']{', substr(p_name, 1, 2), '}', CASE WHEN p_partkey % 7 = 0 THEN '}' ELSE '' END)"
+_spread = lambda c, sep: f"array_to_string(list_transform(string_split({c}, ''), lambda c: {sep} || c), ' ')"
+_digits, _two = "CAST(p_size AS VARCHAR)", "substr(p_name, 1, 2)"
+SQL_TOKENS = f"""'C:frac ' || {_spread(_digits, "'T:'")} || ' T:' || p_brand || ' C:active::^ T:' || substr(p_name, 1, 1) || ' C:sqrt ' || {_spread(_digits, "'T:'")} || ' ' || {_spread(_two, "'T:'")}"""
+SQL_PLAIN = f"""'\\frac {{ ' || {_spread(_digits, "''")} || ' }} {{ ' || p_brand || ' }} ^ {{ ' || substr(p_name, 1, 1) || ' }} \\sqrt {{ ' || {_spread(_digits, "''")} || ' }} {{ ' || {_spread(_two, "''")} || ' }}'"""
+_quoted = lambda c: f"""array_to_string(list_transform(string_split({c}, ''), lambda c: '"' || c || '"'), ',')"""
+SQL_JSON = f"""'[{{"frac":[' || {_quoted(_digits)} || ',"' || p_brand || '"]}},{{"active::^":["' || substr(p_name, 1, 1) || '"]}},{{"sqrt":[' || {_quoted(_digits)} || ',' || {_quoted(_two)} || ']}}]'"""
+_good = "p_partkey % 7 <> 0"
 
 
-@_registered("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in LATEX) + ") AS t(latex, tokens, plain)")
+def _formulae(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(FORMULA).alias("latex"))
+
+
+@_registered(f"SELECT p_partkey AS id, CASE WHEN {_good} THEN {SQL_TOKENS} END AS tokens FROM part")
 def latex_tokenize(spark, sf_dir):
-    rows = spark.createDataFrame([(r[0],) for r in LATEX], "latex string")
-    got = rows.withColumn("t", tokens.latex_tokens(F.col("latex")))
-    return got.select("latex", F.array_join("t", " ").alias("tokens"), tokens.plain(F.col("t")).alias("plain"))
+    """Tokens of formulae, null for bad ones."""
+    return _formulae(spark, sf_dir).select("id", F.array_join(tokens.latex_tokens(F.col("latex")), " ").alias("tokens"))
+
+
+@_registered(f"SELECT p_partkey AS id, {SQL_PLAIN} AS plain FROM part WHERE {_good}")
+def latex_plain(spark, sf_dir):
+    """Canonical text of formulae; bad ones are dropped, as on ingest."""
+    return _formulae(spark, sf_dir).select("id", latex.forms(F.col("latex"))["plain"].alias("plain")).where("plain IS NOT NULL")
+
+
+@_registered(f"SELECT p_partkey AS id, {SQL_JSON} AS json FROM part WHERE {_good}")
+def latex_json(spark, sf_dir):
+    return _formulae(spark, sf_dir).select("id", latex.forms(F.col("latex"))["json"].alias("json")).where("json IS NOT NULL")
 
 
 XML = """<R><Article><ArticleDOI>10.1/a</ArticleDOI><JournalID>J1</JournalID><CoverDate><Year>2001</Year></CoverDate><PrintDate><Year>2002</Year></PrintDate>

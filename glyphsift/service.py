@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 
-from .functions.tokens import lex, plain_text
+from .functions import latex
 from .operators import search
 
 
@@ -33,23 +33,28 @@ def answers(lines: Iterable[str], eqs: DataFrame, metadata: DataFrame) -> Iterat
 
 
 def preprocess(request: dict) -> dict:
-    """Tokens and canonical text of a request's fragment, in the format json, plain or json-plain."""
+    """Nested JSON and canonical text of a request's fragment, in the format json, plain or json-plain. A missing
+    argument or another format answers 400, a bad formula or anything else that fails 500."""
     text = lambda code, body: {"code": code, "body": body, "headers": {"Content-type": "text/plain"}}
     try:
-        kind, latex = request["query"]["format"], request["query"]["latex"]
-        tokens = lex(latex)
-        shown = [{t[2:]: []} if t[0] == "C" else t[2:] for t in tokens]
+        kind, nodes = request["query"]["format"], latex.parse(request["query"]["latex"])
         if kind == "json-plain":
-            return {"code": 200, "json": {"json": shown, "plain": plain_text(tokens)}}
+            return {"code": 200, "json": {"json": latex.nested(nodes), "plain": latex.canonical(nodes)}}
         if kind == "json":
-            return {"code": 200, "json": shown}
-        return text(200, plain_text(tokens)) if kind == "plain" else text(400, "Error: bad format argument")
+            return {"code": 200, "json": latex.nested(nodes)}
+        return text(200, latex.canonical(nodes)) if kind == "plain" else text(400, "Error: bad format argument")
     except KeyError as e:
         return text(400, f"Error: {e}")
     except Exception as e:
         return text(500, f"Error: {e}")
 
 
+def preprocessed(lines: Iterable[str]) -> Iterator[str]:
+    """An answer in compact JSON for each request to preprocess, one to a line."""
+    for line in lines:
+        yield json.dumps(preprocess(json.loads(line)), separators=(",", ":"))
+
+
 def client_search(eqs: DataFrame, metadata: DataFrame, sources: DataFrame, searchTerm: str, searchTimeout: float = 20.0, limit: int = 2500, precision: float = 0.7) -> dict:
     """Seconds taken, and the results with their equations' sources or the name of the error."""
     args, began = search.Arguments(searchTerm, float(searchTimeout), int(limit), precision=float(precision)), time.monotonic()

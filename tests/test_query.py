@@ -5,8 +5,9 @@ import random
 
 import pytest
 
+from glyphsift.functions.latex import BadLatex, canonical, lex, nested
+from glyphsift.functions.latex import parse as parse_latex
 from glyphsift.functions.sequences import _bit_parallel, cutoff, fragments, substring_distance
-from glyphsift.functions.tokens import lex, plain_text
 from glyphsift.plans.query import And, Atom, Or, QueryParseError, distance, gathers, parse, similar, to_string
 
 
@@ -104,4 +105,34 @@ def test_lexer():
     assert lex(r"\sum_{i=0}^n i") == ["C:sum", "C:active::_", "T:i", "T:=", "T:0", "C:active::^", "T:n", "T:i"]
     assert lex(r"\text{} \textit{} \hbox{x}") == ["C:textit", "T:x"]
     assert lex(None) == []
-    assert plain_text(lex(r"\frac{a}{b}^2")) == r"\frac a b ^ 2"
+
+
+@pytest.mark.parametrize(
+    ("formula", "tokens", "shown", "tree"),
+    [
+        (r"\frac{a}{b}^2", "C:frac T:a T:b C:active::^ T:2", r"\frac { a } { b } ^ { 2 }", [{"frac": ["a", "b"]}, {"active::^": ["2"]}]),
+        (r"\frac12", "C:frac T:1 T:2", r"\frac { 1 } { 2 }", [{"frac": ["1", "2"]}]),
+        (r"\frac{}{a}\hat{}", "C:frac T:a C:hat", r"\frac { } { a } \hat", [{"frac": ["a"]}, {"hat": []}]),
+        (r"\sqrt[3]{x}", "C:sqrt T:3 T:x", r"\sqrt { 3 } { x }", [{"sqrt": ["3", "x"]}]),
+        (r"\sqrt [n", "C:sqrt T:[ T:n", r"\sqrt { [ } n", [{"sqrt": ["["]}, "n"]),
+        ("a % b {\n c \\% d", "T:a T:c C:% T:d", r"a c \% d", ["a", "c", {"%": []}, "d"]),
+        (r"\text{a {b} c}d", "T:a  T:b T:c T:d", "a  b c d", ["a ", "b", "c", "d"]),
+        (r"\textbf{if $x$}", "C:textbf T:if  T:x", r"\textbf { if  x }", [{"textbf": ["if ", "x"]}]),
+        (r"\begin{array}{cc} x & y \\[2pt] z \end{array}", "T:x T:y C:\\ T:z", "x y \\\\ z", ["x", "y", {"\\": []}, "z"]),
+        (r"\begin{pmatrix} 1 \end{pmatrix}_i", "C:pmatrix T:1 C:active::_ T:i", r"\pmatrix { 1 } _ { i }", [{"pmatrix": ["1"]}, {"active::_": ["i"]}]),
+        (r"x^\frac a{b}c", "T:x C:active::^ C:frac T:a T:b T:c", r"x ^ { \frac { a } { b } } c", ["x", {"active::^": [{"frac": ["a", "b"]}]}, "c"]),
+    ],
+)
+def test_formulae(formula, tokens, shown, tree):
+    nodes = parse_latex(formula)
+    assert " ".join(lex(formula)) == tokens
+    assert canonical(nodes) == shown
+    assert nested(nodes) == tree
+
+
+@pytest.mark.parametrize("formula", ["{", "}", r"\frac{a}{b", "{a}}", r"\begin{align} x", r"\end{align}", r"\begin{a}\end{b}", r"{\begin{a}}\end{a}", r"\text{x", r"\sqrt[{]}]{x}}"])
+def test_bad_formulae(formula):
+    with pytest.raises(BadLatex):
+        lex(formula)
+    with pytest.raises(QueryParseError):
+        parse(f'"{formula}"')

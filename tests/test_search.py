@@ -1,12 +1,13 @@
 """Search against brute force, result shaping and the service's answers."""
 
+import json
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from glyphsift.functions import keys, sequences, tokens
+from glyphsift.functions import keys, latex, sequences, tokens
 from glyphsift.operators import postings, search
 from glyphsift.plans.query import And, Atom, Or, gathers, parse, similar
 
@@ -71,12 +72,37 @@ def test_distance_of_columns_and_nulls(spark):
     assert [x[0] for x in df.select(sequences.distance(F.col("q"), F.col("t"))).collect()] == [1, 0, 1, None]
 
 
+def random_formula(r, depth=0):
+    out = []
+    for _ in range(r.randint(0, 6)):
+        x = r.random()
+        inner = random_formula(r, depth + 1) if depth < 3 else "a"
+        if x < 0.4:
+            out.append(r.choice(["x", " ", "1", "\\alpha ", "\\{", "\\\\", "&", "$", "~", "%c {\n", "\\%", "[", "]", "\\rm ", "é", "\xa0"]))
+        elif x < 0.9:
+            out.append(r.choice(["{%s}", "\\frac{%s}{b}", "^{%s}", "_{%s}", "\\text{%s}", "\\textit {so %s}", "\\hat{%s}", "\\begin{align}%s\\end{align}", "\\begin{pmatrix} %s \\end {pmatrix}", "\\begin{array}{c}%s\\end{array}"]).replace("%s", inner))
+        else:
+            out.append(r.choice(["\\sqrt[3]{x}", "\\sqrt [a{b}]c", "\\\\sqrt[2]", "{", "}", "\\begin{a}", "\\end{a}", "\\frac", "\\\\[3pt]"]))
+    return "".join(out)
+
+
 def test_lexers_agree(spark):
-    formulae = [r"\frac{a}{b}", r"\text{a b}c\textbf {d}", r"\begin{array}{c} \{ x \} \\ y \end{array}", r"x_1^2~\,z", "", None, r"\mathord a \alpha12"]
-    df = spark.createDataFrame([(i, f) for i, f in enumerate(formulae)], "i int, f string").withColumn("t", tokens.latex_tokens(F.col("f")))
-    got = df.select("t", tokens.plain(F.col("t"))).collect()
-    assert [x[0] for x in got] == [tokens.lex(f) for f in formulae]
-    assert [x[1] for x in got] == [tokens.plain_text(tokens.lex(f)) for f in formulae]
+    r = random.Random(5)
+    formulae = [r"\frac{a}{b}", r"\text{a b}c\textbf {d}", r"\begin{array}{c} \{ x \} \\ y \end{array}", r"x_1^2~\,z", "", None, r"\mathord a \alpha12", "{" * 50 + "}" * 50]
+    formulae += [random_formula(r) for _ in range(1500)]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(formulae)], "i int, f string")
+    got = df.select("i", tokens.latex_tokens(F.col("f")).alias("t"), latex.forms(F.col("f")).alias("forms")).orderBy("i").collect()
+    bad = 0
+    for x in got:
+        try:
+            nodes = latex.parse(formulae[x.i])
+        except latex.BadLatex:
+            bad += 1
+            assert (x.t, x.forms.tokens, x.forms.json, x.forms.plain) == (None, None, None, None), formulae[x.i]
+            continue
+        assert x.t == x.forms.tokens == latex.flat(nodes), formulae[x.i]
+        assert (json.loads(x.forms.json), x.forms.plain) == (latex.nested(nodes), latex.canonical(nodes))
+    assert 50 < bad < len(got) - 500
 
 
 def test_keys(spark):
@@ -96,7 +122,7 @@ def service(spark):
 def test_answer(service):
     body = search.answer(*service, {"searchTerm": '"x^2"'})["body"]
     assert body == (
-        '<results><query>"x ^ 2"</query><Chapter doi="10.1/b" count="1"><equation distance="0" id="e1"/></Chapter>'
+        '<results><query>"x ^ { 2 }"</query><Chapter doi="10.1/b" count="1"><equation distance="0" id="e1"/></Chapter>'
         '<Article doi="10.1/a" count="1"><equation distance="0" id="e1"/></Article></results>'
     )
 

@@ -20,7 +20,7 @@ def test_store_from_files_to_answers(spark, tmp_path):
     assert said == ["10.1/a containerID=J1 no_equations=2", "10.1/b_1 containerID=10.1/b no_equations=0", "Total number of equations: 2"]
     said.clear()
     run("query", lines=['{"query": {"searchTerm": "\\"x^2\\""}}', '{"body": "{\\"searchTerm\\": \\"(\\"}"}', "{}", "no"])
-    assert [json.loads(x)["body"] for x in said] == ['<results><query>"x ^ 2"</query><Article doi="10.1/a" count="1"><equation distance="0" id="E1"/></Article></results>', "<QueryParseError/>", "<ArgParseError/>", "<ArgParseError/>"]
+    assert [json.loads(x)["body"] for x in said] == ['<results><query>"x ^ { 2 }"</query><Article doi="10.1/a" count="1"><equation distance="0" id="E1"/></Article></results>', "<QueryParseError/>", "<ArgParseError/>", "<ArgParseError/>"]
     store = Store(spark, folder)
     sources = store.documents().selectExpr("doi", "explode(source) AS (eqnID, source)")
     got = service.client_search(store.equations(), store.metadata(), sources, '"x^2"')
@@ -43,7 +43,9 @@ def test_store_from_files_to_answers(spark, tmp_path):
 
 def test_preprocess():
     of = lambda **q: service.preprocess({"query": q})
-    assert of(format="json-plain", latex=r"\frac{a}2")["json"] == {"json": [{"frac": []}, "a", "2"], "plain": r"\frac a 2"}
+    assert of(format="json-plain", latex=r"\frac{a}2")["json"] == {"json": [{"frac": ["a", "2"]}], "plain": r"\frac { a } { 2 }"}
     assert of(format="json", latex="")["json"] == []
-    assert of(format="plain", latex="x_1")["body"] == "x _ 1"
+    assert of(format="plain", latex="x_1")["body"] == "x _ { 1 }"
     assert (of(format="xml", latex="")["code"], of(latex="x")["code"], service.preprocess({"query": 1})["code"]) == (400, 400, 500)
+    assert of(format="json", latex="{x")["code"] == of(format="plain", latex=r"\begin{a}")["code"] == 500
+    assert [json.loads(x)["code"] for x in service.preprocessed(['{"query": {"format": "plain", "latex": "x"}}', '{"query": {}}'])] == [200, 400]
