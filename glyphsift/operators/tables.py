@@ -52,12 +52,26 @@ def delete(stored: DataFrame, gone: DataFrame) -> DataFrame:
     return stored.join(g, hit, "left_anti")
 
 
+def newest(rows: DataFrame) -> DataFrame:
+    """Of each id of rows(id, key, doc) the one with the highest key; of two with it the one without a document."""
+    return latest(rows.select("id", "key", "doc"), ["id"], F.col("key"), F.col("doc").isNull())
+
+
+def reduced(updates: DataFrame) -> DataFrame:
+    """What updates(key, id, deleted, doc) amount to as stored rows; a deletion, and a change without a document, is one
+    without a document, which stays as the id's last word."""
+    return newest(updates.select("id", "key", F.when(~F.col("deleted"), F.col("doc")).alias("doc")))
+
+
+def live(rows: DataFrame) -> DataFrame:
+    return rows.where("doc IS NOT NULL")
+
+
 def apply_feed(stored: DataFrame, updates: DataFrame) -> DataFrame:
     """stored(id, key, doc) after updates(key, id, deleted, doc): of each id the change with the highest key
-    counts, unless the stored one is later; deletions, and changes without a document, remove it."""
-    last = latest(updates.select("id", "key", F.when(~F.col("deleted"), F.col("doc")).alias("doc")), ["id"], F.col("key"), F.col("doc").isNull())
-    both = latest(stored.select("id", "key", "doc").unionByName(last), ["id"], F.col("key"), F.col("doc").isNull())
-    return both.where("doc IS NOT NULL")
+    counts, unless the stored one is later. Removed ids stay without a document, so that an earlier change that
+    comes late doesn't bring them back; live() leaves them out."""
+    return newest(stored.select("id", "key", "doc").unionByName(reduced(updates)))
 
 
 def metadata(documents: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import shared
 from .functions import keys, latex, sequences, tokens
 from .functions.sequences import cutoff
 from .operators import postings, search, tables
@@ -267,16 +267,29 @@ FEED = "WITH l AS (SELECT CAST(user_id AS VARCHAR) AS id, max(event_id) AS key,
 
 @_registered(FEED)
 def change_feed_apply(spark, sf_dir):
-    return tables.apply_feed(spark.createDataFrame([], feed.STORED), _updates(spark, sf_dir))
+    return tables.live(tables.apply_feed(spark.createDataFrame([], feed.STORED), _updates(spark, sf_dir)))
 
 
 @_registered(FEED)
 def change_feed_stream(spark, sf_dir):
-    """The same by a stream over files of changes, into a snapshot of which the last version is read."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='feed-')}/feed-{uuid.uuid4().hex}"
-    _updates(spark, sf_dir).repartitionByRange(3, "key").write.parquet(f"{base}/changes")
+    """The same by a stream over files of changes that come in the reverse of their order, into a snapshot."""
+    base = f"{shared.folder(spark)}/feed-{uuid.uuid4().hex}"
+    updates, top = _updates(spark, sf_dir), _table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    for k in (2, 1, 0):
+        part = updates.where((F.col("key") > k * top / 3) & (F.col("key") <= (k + 1) * top / 3) | ((k == 0) & (F.col("key") <= 0)))
+        part.coalesce(1).write.mode("append").parquet(f"{base}/changes")
     feed.start(spark, f"{base}/changes", f"{base}/index", f"{base}/progress").awaitTermination()
-    return snapshot.load(spark, f"{base}/index", "documents").select("id", "key", "doc")
+    shared.remove(spark, f"{base}/changes")
+    return feed.documents(spark, f"{base}/index")
+
+
+@_registered(FEED)
+def change_feed_batches(spark, sf_dir):
+    """The same in batches by key."""
+    folder = f"{shared.folder(spark)}/feed-{uuid.uuid4().hex}"
+    updates = _updates(spark, sf_dir)
+    feed.run(spark, updates, folder, max(feed.BATCH, -(-updates.count() // 12)))
+    return feed.documents(spark, folder)
 
 
 @_registered(f"WITH {LINES}, m AS (SELECT doi, any_value(containerID) AS containerID, count(DISTINCT line) AS no_eqns FROM lines GROUP BY doi) SELECT doi, containerID, no_eqns FROM m UNION ALL SELECT '*', NULL, CAST(sum(no_eqns) AS BIGINT) FROM m")

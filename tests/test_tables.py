@@ -35,19 +35,61 @@ def test_dedupe_and_documents(spark):
     assert tables.list_one(meta, "none").count() == 0
 
 
-def test_feed_in_batches_and_as_stream(spark, tmp_path):
-    changes = [(1, "a", False, "v1"), (2, "b", False, "v1"), (3, "a", False, "v2"), (4, "b", True, None), (5, "c", False, None), (6, "d", False, "v1"), (7, "d", True, "v1")]
-    for k in range(len(changes)):
-        spark.createDataFrame(changes[k : k + 1], feed.UPDATE).coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
-    whole = spark.createDataFrame(changes, feed.UPDATE)
+CHANGES = [(1, "a", False, "v1"), (2, "b", False, "v1"), (3, "a", False, "v2"), (4, "b", True, None), (5, "c", False, None), (6, "d", False, "v1"), (7, "d", True, "v1")]
+
+
+def test_feed_in_any_order(spark, tmp_path):
+    whole = spark.createDataFrame(CHANGES, feed.UPDATE)
     want = [("a", 3, "v2")]
-    assert rows(tables.apply_feed(spark.createDataFrame([], feed.STORED), whole)) == want
-    for a, b in ((0, 3), (2, 7)):
-        feed.apply(spark, spark.createDataFrame(changes[a:b], feed.UPDATE), str(tmp_path / "batches"))
-    assert rows(snapshot.load(spark, str(tmp_path / "batches"), "documents")) == want
-    assert snapshot.offset(spark, str(tmp_path / "batches")) == 7
-    feed.start(spark, str(tmp_path / "changes"), str(tmp_path / "index"), str(tmp_path / "progress")).awaitTermination()
-    assert rows(snapshot.load(spark, str(tmp_path / "index"), "documents")) == want
+    assert rows(tables.live(tables.apply_feed(spark.createDataFrame([], feed.STORED), whole))) == want
+    for n, order in enumerate([range(7), range(6, -1, -1), [3, 1, 6, 5, 2, 0, 4, 4, 2]]):
+        folder = str(tmp_path / f"batches{n}")
+        for k in order:
+            feed.apply(spark, spark.createDataFrame([CHANGES[k]], feed.UPDATE), folder)
+        assert rows(feed.documents(spark, folder)) == want
+        assert snapshot.offset(spark, folder) == 7
+    for k in range(6, -1, -1):
+        spark.createDataFrame([CHANGES[k]], feed.UPDATE).coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
+    go = lambda: feed.start(spark, str(tmp_path / "changes"), str(tmp_path / "index"), str(tmp_path / "progress")).awaitTermination()
+    go()
+    assert rows(feed.documents(spark, str(tmp_path / "index"))) == want
+    # A change of a removed id that comes late, and one that is the newest.
+    spark.createDataFrame([(3, "b", False, "late"), (9, "d", False, "back")], feed.UPDATE).coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
+    go()
+    assert rows(feed.documents(spark, str(tmp_path / "index"))) == [*want, ("d", 9, "back")]
+
+
+def test_feed_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "FANOUT", 3)
+    folder, updates = str(tmp_path / "s"), spark.createDataFrame(CHANGES, feed.UPDATE)
+    assert feed.run(spark, updates, folder, 2) == 7
+    assert rows(feed.documents(spark, folder)) == [("a", 3, "v2")]
+    assert feed.run(spark, updates, folder, 2) == 7
+    for k in range(12):
+        feed.apply(spark, spark.createDataFrame([(10 + k, f"n{k % 5}", False, str(k))], feed.UPDATE), folder)
+    assert len(rows(feed.documents(spark, folder))) == 6
+    names = [p.name for p in (tmp_path / "s").iterdir() if not p.name.startswith(".")]
+    assert sum(n.startswith("current-") for n in names) == snapshot.KEEP
+    # Of every level there are fewer runs than are merged, in each of the versions that stay.
+    assert sum((tmp_path / "s" / n / "documents").exists() for n in names) <= 3 * snapshot.KEEP + 3
+    feed.apply(spark, updates.limit(0), folder)
+    assert snapshot.offset(spark, folder) == 21
+
+
+def test_one_of_two_writers(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    snapshot.init(spark, folder, {"t": "a int"})
+    with snapshot.writer(spark, folder):
+        with pytest.raises(snapshot.Taken), snapshot.writer(spark, folder):
+            pass
+    (tmp_path / "s" / "writer").write_text(f"{__import__('socket').gethostname()} 999999999")
+    with snapshot.writer(spark, folder):
+        pass
+    version = snapshot.current(spark, folder)
+    snapshot._claim(spark, f"{folder}/current-{version + 1:010d}", '{"tables": {}, "offset": null}')
+    with pytest.raises(snapshot.Taken):
+        snapshot._claim(spark, f"{folder}/current-{version + 1:010d}", "other")
+    assert not [p for p in (tmp_path / "s").iterdir() if p.name.startswith("_") or p.name == "writer"]
 
 
 def test_snapshot_is_whole_or_not_there(spark, tmp_path):
