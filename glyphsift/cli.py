@@ -25,8 +25,7 @@ def main(args: list[str] | None = None, lines=sys.stdin, out=print) -> int:
     store = Store(spark, a.folder)
     show = lambda r: out(f"{r.doi}{f' containerID={r.containerID}' if r.containerID else ''} no_equations={r.no_eqns}")
     if a.command == "query":
-        eqs, meta = store.equations().cache(), store.metadata()
-        for line in service.answers(lines, eqs, meta):
+        for line in service.answers(lines, store.equations(), store.metadata(), store.postings()):
             out(line)
     elif a.command == "list-all":
         rows, total = tables.list_all(store.metadata())

@@ -14,6 +14,8 @@ from ..functions.keys import decode_doi, encode_doi
 from ..functions.tokens import framed
 from ..plans import compile as plan
 from ..plans.query import Atom, Preprocess, Query, QueryParseError, parse, preprocess, to_string
+from ..shared import checkpointed, fresh
+from . import postings
 
 
 class SearchError(Exception):
@@ -32,6 +34,14 @@ class TimedOut(SearchError):
     pass
 
 
+class MetadataMissing(KeyError):
+    """A document that was found has no metadata: the tables don't belong together."""
+
+
+#: Equations found, of some 100 bytes, up to which they are broadcast to the metadata.
+BROADCAST_HITS = 100_000
+
+
 def equations(rows: DataFrame, tokens: Column) -> DataFrame:
     """Adds tokens and their framed form. Kept as a table, it is what searches scan: tokenising is paid once."""
     return rows.withColumn("tokens", tokens).withColumn("canon", framed(F.col("tokens")))
@@ -48,11 +58,13 @@ def find_exact(eqs: DataFrame, tokens: list[str]) -> DataFrame:
     return eqs.where((F.size("tokens") > 0) & plan.contains_run(F.col("canon"), tokens)).withColumn("distance", F.lit(0))
 
 
-def find_query(eqs: DataFrame, query: Query, precision: float, method: str = "native") -> DataFrame:
+def find_query(eqs: DataFrame, query: Query, precision: float, method: str = "native", index: DataFrame | None = None) -> DataFrame:
     """Sequences similar to a query, with their distance: candidates first, as those tests are cheap, then the
-    distance of what is left."""
+    distance of what is left. With an index (see postings) only sequences that it doesn't rule out are looked at."""
+    if index is not None:
+        eqs = postings.narrowed(eqs, index, query, precision)
     near = eqs.where((F.size("tokens") > 0) & plan.gather(query, precision, F.col("canon")))
-    return near.withColumn("distance", plan.similar(query, precision, F.col("tokens"), method)).where(F.col("distance").isNotNull())
+    return near.withColumn("distance", plan.similar(query, precision, F.col("tokens"), method, F.col("canon"))).where(F.col("distance").isNotNull())
 
 
 def find_approx(eqs: DataFrame, tokens: list[str], precision: float, method: str = "native") -> DataFrame:
@@ -66,10 +78,12 @@ def collate(hits: DataFrame) -> DataFrame:
     return found.select("doi", F.size("equations").cast("bigint").alias("count"), F.get("equations", F.lit(0))["distance"].alias("best"), "equations")
 
 
-def guard(docs: DataFrame, limit: int) -> None:
-    """Raises LimitExceeded for more than limit documents. No more than one above it are counted."""
-    if docs.select("doi").limit(limit + 1).count() > limit:
+def guard(docs: DataFrame, limit: int) -> int:
+    """The number of documents; raises LimitExceeded if it is over the limit. docs are counted, so they should be at hand."""
+    n = docs.count()
+    if n > limit:
         raise LimitExceeded(limit)
+    return n
 
 
 def filters(
@@ -121,17 +135,23 @@ class Arguments:
             raise ArgParseError(str(e)) from e
 
 
-def search(eqs: DataFrame, metadata: DataFrame, args: Arguments, preprocess: Preprocess = preprocess, method: str = "native") -> tuple[Query, DataFrame]:
+def search(
+    eqs: DataFrame, metadata: DataFrame, args: Arguments, preprocess: Preprocess = preprocess, method: str = "native", index: DataFrame | None = None
+) -> tuple[Query, DataFrame]:
     """The query, and (doi, format, count, best, equations) of its page of results.
 
-    The limit holds before filters and paging. Metadata are looked up by an inner join: the hits, which the
-    guard has bounded, are the small side. Documents without metadata are left out.
+    The corpus is searched once: what is found is checkpointed, and counted against the limit, which holds before filters
+    and paging. It is broadcast to the metadata up to BROADCAST_HITS equations, and shuffled beyond. A document
+    without metadata is an error, MetadataMissing.
     """
     query = parse(args.searchTerm, preprocess)
-    docs = collate(find_query(eqs, query, args.precision, method))
-    guard(docs, args.limit)
+    docs = checkpointed(collate(find_query(eqs, query, args.precision, method, index)))
+    n = guard(docs, args.limit)
+    few = n <= BROADCAST_HITS and (docs.agg(F.sum("count")).first()[0] or 0) <= BROADCAST_HITS
     split = lambda s: None if s is None else s.split(",")
-    joined = metadata.join(F.broadcast(docs.limit(args.limit)), "doi")
+    joined = checkpointed(metadata.select("doi", "containerID", "format", "publicationYear").join(F.broadcast(docs) if few else docs, "doi"))
+    if joined.select("doi").distinct().count() < n:
+        raise MetadataMissing(docs.join(fresh(joined), "doi", "left_anti").first()["doi"])
     kept = joined.where(filters(split(args.containerID), split(args.doi), args.publishedBefore, args.publishedAfter))
     return query, ranked(kept.select("doi", "format", "count", "best", "equations"), args.start, args.count)
 
@@ -171,14 +191,14 @@ def results_xml(query: Query, rows: list) -> str:
     return "".join(found) + "</results>"
 
 
-def answer(eqs: DataFrame, metadata: DataFrame, given: dict, preprocess: Preprocess = preprocess) -> dict:
+def answer(eqs: DataFrame, metadata: DataFrame, given: dict, preprocess: Preprocess = preprocess, index: DataFrame | None = None) -> dict:
     """What the service answers to a request's arguments: code, headers and an XML body, or just code 500."""
     xml = lambda body: {"code": 200, "headers": {"Content-type": "text/xml"}, "body": body}
     try:
         if "searchTerm" not in given:
             raise ArgParseError("searchTerm")
         args = Arguments.of(given)
-        query, rows = with_timeout(eqs.sparkSession, args.searchTimeout, lambda: (lambda q, d: (q, d.collect()))(*search(eqs, metadata, args, preprocess)))
+        query, rows = with_timeout(eqs.sparkSession, args.searchTimeout, lambda: (lambda q, d: (q, d.collect()))(*search(eqs, metadata, args, preprocess, index=index)))
         return xml(results_xml(query, rows))
     except QueryParseError:
         return xml("<QueryParseError/>")

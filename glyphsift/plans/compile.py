@@ -28,11 +28,14 @@ def gather(q: Query, precision: float, canon: Column) -> Column:
     return left & right if isinstance(q, And) else left | right
 
 
-def similar(q: Query, precision: float, tokens: Column, method: str = "native") -> Column:
+def similar(q: Query, precision: float, tokens: Column, method: str = "native", canon: Column | None = None) -> Column:
     """Distance of a sequence, null where it isn't similar. AND takes the greater of two that are, OR the lesser
-    of those that are."""
+    of those that are. With the framed form a query that must stand there as it is costs just a substring test."""
     if isinstance(q, Atom):
+        k = cutoff(precision, len(q.tokens))
+        if k == 1 and canon is not None and q.tokens:
+            return F.when(contains_run(canon, list(q.tokens)), 0)
         d = distance(list(q.tokens), tokens, method)
-        return F.when(d < cutoff(precision, len(q.tokens)), d)
-    left, right = similar(q.left, precision, tokens, method), similar(q.right, precision, tokens, method)
+        return F.when(d < k, d)
+    left, right = similar(q.left, precision, tokens, method, canon), similar(q.right, precision, tokens, method, canon)
     return F.when(left.isNotNull() & right.isNotNull(), F.greatest(left, right)) if isinstance(q, And) else F.least(left, right)

@@ -201,7 +201,7 @@ LIMITS = [1, 100, 1_000_000]
 
 @_registered(f"WITH {CORPUS}, {HITS} SELECT CAST(unnest({LIMITS}) AS INTEGER) AS doc_limit, (SELECT count(DISTINCT doi) FROM hits) > unnest({LIMITS}) AS exceeded")
 def limit_guard(spark, sf_dir):
-    docs, found = search.collate(_hits(spark, sf_dir)), []
+    docs, found = shared.checkpointed(search.collate(_hits(spark, sf_dir))), []
     for limit in LIMITS:
         try:
             search.guard(docs, limit)

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.tokens import latex_tokens
-from .operators import search, tables
+from .operators import postings, search, tables
+from .shared import checkpointed
 from .sources import snapshot, xml
 
 EQUATIONS = "doi STRING, eqnID STRING, tokens ARRAY<STRING>, canon STRING"
 METADATA = "doi STRING, containerID STRING, format STRING, publicationYear STRING, no_eqns INT"
 
+POSTINGS = "gram BIGINT, doi STRING, eqnID STRING"
+KEYS = ["doi", "eqnID"]
+
 
 class Store:
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -20,7 +24,7 @@ class Store:
     def init(self) -> None:
         """Empty documents and an empty index, as new versions."""
         snapshot.init(self.spark, self.docs, {"documents": tables.DOCUMENT})
-        snapshot.init(self.spark, self.index, {"equations": EQUATIONS, "metadata": METADATA})
+        snapshot.init(self.spark, self.index, {"equations": EQUATIONS, "metadata": METADATA, "postings": POSTINGS})
 
     def documents(self) -> DataFrame:
         return snapshot.load(self.spark, self.docs, "documents")
@@ -64,10 +68,14 @@ class Store:
         return [tuple(r) for r in found.where("year_status <> 'same'").select("doi", "year_status").collect()]
 
     def update(self) -> None:
-        """The index of the documents as they are."""
+        """The index of the documents as they are: equations, metadata, and postings of short runs of tokens."""
         docs = self.documents()
-        eqs = search.equations(tables.equation_rows(docs).withColumnRenamed("tokens", "t"), F.col("t")).drop("t")
-        snapshot.save({"equations": eqs, "metadata": tables.metadata(docs)}, self.index)
+        eqs = checkpointed(search.equations(tables.equation_rows(docs).withColumnRenamed("tokens", "t"), F.col("t")).drop("t"))
+        runs = postings.postings(eqs, KEYS)
+        snapshot.save({"equations": eqs, "metadata": tables.metadata(docs), "postings": runs}, self.index, write={"postings": postings.laid_out})
+
+    def postings(self) -> DataFrame:
+        return snapshot.load(self.spark, self.index, "postings")
 
     def equations(self) -> DataFrame:
         return snapshot.load(self.spark, self.index, "equations")

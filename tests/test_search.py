@@ -67,6 +67,30 @@ def test_similarity_join_is_search_for_each(spark, corpus):
     assert got == sorted((k, i, d) for k, t, p in queries for i, s in rows if s and gathers(q(t), p, s) and (d := similar(q(t), p, s)) is not None)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_search_through_an_index(spark, corpus, seed):
+    rows, eqs = corpus
+    index = postings.laid_out(postings.postings(eqs, ["id"])).cache()
+    r = random.Random(100 + seed)
+    q, p = random_query(r), r.choice([0.0, r.random(), 0.7, 1.0])
+    assert found(search.find_query(eqs, q, p, index=index)) == found(search.find_query(eqs, q, p))
+    assert {x.id for x in postings.candidates(index, q, p).collect()} >= {i for i, t in rows if t and gathers(q, p, t)}
+
+
+def test_join_with_long_sequences(spark, monkeypatch):
+    r = random.Random(6)
+    long = [str(r.randrange(3000)) for _ in range(100_000)]
+    rows = [(1, long), (2, long[50_000:50_020]), (3, ["x"]), (4, None), (5, [])]
+    eqs = search.equations(spark.createDataFrame(rows, "id int, t array<string>"), F.col("t")).drop("t")
+    queries = [(1, long[70_000:70_030], 1.0), (2, [*long[50_002:50_010], "?", *long[50_011:50_015]], 0.7), (3, ["x"], 0.7), (4, [], 0.7), (5, ["none"], 1.0)]
+    df = spark.createDataFrame(queries, "query_id int, tokens array<string>, precision double")
+    want = [(1, 1, 0), (2, 1, 1), (2, 2, 1), (3, 3, 0)]
+    run = lambda: sorted(tuple(x) for x in postings.similarity_join(eqs, df, ["id"]).collect())
+    assert run() == want
+    monkeypatch.setattr(postings, "BROADCAST_ROWS", 0)
+    assert run() == want
+
+
 def test_distance_of_columns_and_nulls(spark):
     df = spark.createDataFrame([(["a", "b"], ["x", "a", "c", "b"]), ([], ["a"]), (["a"], []), (["a"], None)], "q array<string>, t array<string>")
     assert [x[0] for x in df.select(sequences.distance(F.col("q"), F.col("t"))).collect()] == [1, 0, 1, None]
@@ -158,6 +182,31 @@ def test_timeout(spark):
         search.with_timeout(spark, 1.0, lambda: spark.range(4).select(slow("id")).collect())
 
 
+def test_missing_metadata_is_an_error(service):
+    eqs, meta = service
+    with pytest.raises(search.MetadataMissing):
+        search.search(eqs, meta.where("doi <> '10.1/b'"), search.Arguments('"x^2"'))
+    assert search.answer(eqs, meta.where("doi <> '10.1/b'"), {"searchTerm": '"x^2"'}) == {"code": 500}
+    assert search.answer(eqs, meta, {"searchTerm": '"{x"'})["body"] == "<QueryParseError/>"
+
+
+@pytest.mark.parametrize("bound", [0, 100_000])
+def test_the_corpus_is_searched_once(service, spark, monkeypatch, bound):
+    monkeypatch.setattr(search, "BROADCAST_HITS", bound)
+    eqs, meta = service
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    counted = eqs.mapInArrow(count, eqs.schema)
+    _, rows = search.search(counted, meta, search.Arguments('"x^2"', publishedAfter="1"))
+    assert [x.doi for x in rows.collect()] == ["10.1/b", "10.1/a"]
+    assert seen.value == eqs.count()
+
+
 def test_sources_of_chapters_too(service, spark):
     _, rows = search.search(*service, search.Arguments('"x^2"'))
     got = search.with_sources(rows, service[0].select("doi", "eqnID", "source")).collect()
