@@ -16,8 +16,9 @@ from ..functions.tokens import framed
 from ..plans.query import And, Atom, Query
 from ..shared import checkpointed, fresh
 
-#: Tokens of the longest run in a stored index; and lengths of runs for a join, which makes its postings as it goes.
-GRAM, LENGTHS = 3, (1, 2, 3, 5, 8)
+#: Tokens of the longest run in a stored index; lengths of runs for a join, which makes its postings as it goes; and the
+#: length from which on a run is taken to be rare, so that its sequences needn't be counted.
+GRAM, LENGTHS, RARE = 3, (1, 2, 3, 5, 8), 5
 #: Rows, of some 100 bytes, up to which a side is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -46,14 +47,20 @@ def run_hash(tokens: list[str]) -> Column:
     return F.xxhash64(F.lit(len(tokens)), *(F.xxhash64(F.lit(t)) for t in tokens))
 
 
-def postings(eqs: DataFrame, keys: list[str], lengths: list[int] | None = None) -> DataFrame:
-    """(gram, keys) of each run of the given lengths, 1 to GRAM unless told otherwise, once for each sequence. Null and empty
-    sequences have none."""
+def postings(eqs: DataFrame, keys: list[str]) -> DataFrame:
+    """(gram, keys) of each run of 1 to GRAM tokens, once for each sequence. Null and empty sequences have none."""
     hashed = eqs.where(F.size("tokens") > 0).select(*keys, _hashes(F.col("tokens")).alias("_h"))
     h = F.col("_h")
     each = lambda n: F.when(F.size(h) >= n, _run_hashes(h, n)).otherwise(F.array().cast("array<bigint>"))
-    grams = F.concat(*(F.array_distinct(each(n)) for n in lengths or range(1, GRAM + 1)))
-    return hashed.select(F.explode(grams).alias("gram"), *keys)
+    return hashed.select(F.explode(F.concat(*(F.array_distinct(each(n)) for n in range(1, GRAM + 1)))).alias("gram"), *keys)
+
+
+def occurrences(eqs: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
+    """(gram, keys) of each run of the given lengths, as often as it stands there, in generated code throughout."""
+    at = eqs.where(F.size("tokens") > 0).select(*keys, _hashes(F.col("tokens")).alias("_h")).select(*keys, "_h", F.posexplode("_h").alias("_at", "_x"))
+    found = [F.when(F.col("_at") <= F.size("_h") - n, _run_hash(F.col("_h"), F.col("_at"), n)) for n in lengths]
+    grams = at.select(found[0].alias("gram"), *keys) if len(found) == 1 else at.select(F.explode(F.array(*found)).alias("gram"), *keys)
+    return grams.where("gram IS NOT NULL")
 
 
 def laid_out(rows: DataFrame) -> DataFrame:
@@ -99,7 +106,7 @@ def similarity_join(eqs: DataFrame, queries: DataFrame, keys: list[str]) -> Data
     """(query_id, keys, distance) of each query (query_id, tokens, precision) and each sequence similar to it.
 
     Of each fragment of a query one run looks up the sequences' postings: of its longest runs the one that
-    the fewest sequences have. A pair that meets there is kept if a whole fragment stands in the sequence, and then if the
+    occurs least, or any if it is long. A pair that meets there is kept if a whole fragment stands in the sequence, and then if the
     distance is below the cutoff. It is an equi-join of hashes and keys, whose skew Spark's adaptive execution splits, in
     place of all pairs; the sequences are joined once, to the distinct pairs. Queries without tokens find nothing.
     """
@@ -112,12 +119,17 @@ def similarity_join(eqs: DataFrame, queries: DataFrame, keys: list[str]) -> Data
         return cut.join(eqs.select(*keys).limit(0), F.lit(False)).select("query_id", *keys, F.lit(0).alias("distance"))
     h = F.col("_h")
     of = [F.when(F.col("n") == n, _run_hashes(h, n)) for n in lengths]
-    runs = checkpointed(parts.withColumn("_h", _hashes(F.col("f"))).select("query_id", "part", F.explode(F.array_distinct(F.coalesce(*of))).alias("gram")))
-    theirs = postings(eqs, keys, lengths)
-    common = theirs.join(small(fresh(runs.select("gram").distinct())), "gram", "left_semi").groupBy("gram").count()
-    # A run that no sequence has rules its fragment out.
-    best = fresh(runs).join(common, "gram", "left").groupBy("query_id", "part").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "gram")).alias("b"))
-    lookups = checkpointed(best.where("b.count > 0").select("query_id", F.col("b.gram").alias("gram")).distinct())
+    runs = checkpointed(parts.withColumn("_h", _hashes(F.col("f"))).select("query_id", "part", "n", F.explode(F.array_distinct(F.coalesce(*of))).alias("gram")))
+    # A short run that no sequence has rules its fragment out; of long ones any does, and the least hash is taken.
+    short = checkpointed(runs.where(F.col("n") < RARE))
+    wanted = fresh(runs.where(F.col("n") >= RARE)).withColumn("count", F.lit(1).cast("bigint"))
+    if not short.isEmpty():
+        some = occurrences(eqs, keys, [n for n in lengths if n < RARE])
+        common = some.join(small(fresh(short.select("gram").distinct())), "gram", "left_semi").groupBy("gram").count()
+        wanted = wanted.unionByName(fresh(short).join(common, "gram"))
+    best = wanted.groupBy("query_id", "part").agg(F.min(F.struct("count", "gram")).alias("b"))
+    lookups = checkpointed(best.select("query_id", F.col("b.gram").alias("gram")).distinct())
+    theirs = occurrences(eqs, keys, lengths)
     pairs = checkpointed(theirs.join(small(fresh(lookups)), "gram").select("query_id", *keys).distinct())
     full = pairs.select(*keys).distinct()
     met = fresh(pairs).join(eqs.join(small(fresh(checkpointed(full))), keys, "left_semi").select(*keys, "tokens", "canon"), keys).join(small(fresh(cut)), "query_id")
