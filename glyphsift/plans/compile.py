@@ -39,3 +39,11 @@ def similar(q: Query, precision: float, tokens: Column, method: str = "native",
         return F.when(d < k, d)
     left, right = similar(q.left, precision, tokens, method, canon), similar(q.right, precision, tokens, method, canon)
     return F.when(left.isNotNull() & right.isNotNull(), F.greatest(left, right)) if isinstance(q, And) else F.least(left, right)
+
+
+def whole_distance(q: Query, tokens: Column, method: str = "native") -> Column:
+    """Distance without cutoff: the greater of both sides for AND, the lesser for OR."""
+    if isinstance(q, Atom):
+        return distance(list(q.tokens), tokens, method)
+    left, right = whole_distance(q.left, tokens, method), whole_distance(q.right, tokens, method)
+    return F.greatest(left, right) if isinstance(q, And) else F.least(left, right)

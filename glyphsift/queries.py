@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import shared
+from . import service, shared
 from .functions import keys, latex, sequences, tokens
 from .functions.sequences import cutoff
 from .operators import postings, search, tables
-from .plans.query import And, Atom, Query, parse
-from .sources import logs, snapshot, xml
+from .plans import compile as plan
+from .plans.query import And, Atom, Query, parse, to_string
+from .sources import logs, xml
+from .store import Store
 from .streaming import feed
 
 PRECISION = 0.7
@@ -147,14 +150,16 @@ def suffix_order(spark, sf_dir):
 
 
 @_registered(
-    """SELECT a.n_nationkey AS id, CASE WHEN substr(a.n_name, 8) < substr(b.n_name, 8) THEN -1 WHEN substr(a.n_name, 8) > substr(b.n_name, 8) THEN 1 ELSE 0 END AS cmp,
-    starts_with(substr(b.n_name, 8), substr(a.n_name, 8)) AS prefix FROM nation a JOIN nation b ON a.n_nationkey * 2 = b.n_nationkey"""
+    f"""WITH {PARTS}, pos AS (SELECT a.id, a.s, b.s AS t, CAST(unnest(range(length(a.s))) AS INTEGER) AS pos FROM parts a JOIN parts b ON a.id + 1 = b.id)
+    SELECT id, pos, CASE WHEN substr(s, pos + 1) < substr(t, pos + 1) THEN -1 WHEN substr(s, pos + 1) > substr(t, pos + 1) THEN 1 ELSE 0 END AS cmp, starts_with(substr(t, pos + 1), substr(s, pos + 1)) AS prefix FROM pos"""
 )
 def suffix_compare(spark, sf_dir):
-    n = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), tokens.character_tokens(F.col("n_name")).alias("t"))
-    pairs = n.alias("a").join(n.alias("b"), F.col("a.id") * 2 == F.col("b.id"))
-    a, b, at = F.col("a.t"), F.col("b.t"), F.lit(7)
-    return pairs.select(F.col("a.id").alias("id"), sequences.compare_suffix(a, at, b, at).alias("cmp"), sequences.is_prefix(F.slice(a, 8, F.size(a)), b, at).alias("prefix"))
+    """Every suffix of a name against the next name from that place on."""
+    n = _parts(spark, sf_dir).select("id", F.col("tokens").alias("t"))
+    pairs = n.alias("a").join(n.alias("b"), F.col("a.id") + 1 == F.col("b.id")).select("a.id", F.col("a.t").alias("a"), F.col("b.t").alias("b"))
+    at = pairs.select("id", "a", "b", F.posexplode("a").alias("pos", "x"))
+    here, suffix = F.col("pos"), F.slice("a", F.col("pos") + 1, F.size("a"))
+    return at.select("id", "pos", sequences.compare_suffix(F.col("a"), here, F.col("b"), here).alias("cmp"), F.coalesce(sequences.is_prefix(suffix, F.col("b"), here), F.lit(False)).alias("prefix"))
 
 
 HITS = f"hits AS (SELECT doi, eqnID, distance, p_name FROM corpus JOIN (SELECT s, CAST({_sql_similar(parse(AND, _characters))} AS INTEGER) AS distance FROM (SELECT DISTINCT s FROM parts)) USING (s) WHERE distance IS NOT NULL)"
@@ -301,10 +306,14 @@ def index_stats(spark, sf_dir):
     return rows.withColumn("no_eqns", F.col("no_eqns").cast("bigint")).unionByName(whole)
 
 
-@_registered("SELECT CAST(doc_id AS VARCHAR) AS doi, source AS containerID, n_chars AS no_eqns FROM documents WHERE doc_id = 7")
+@_registered(f"WITH {LINES} SELECT doi, any_value(containerID) AS containerID, count(DISTINCT line) AS no_eqns FROM lines WHERE doi = '7' GROUP BY doi")
 def index_lookup(spark, sf_dir):
-    meta = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doi"), F.col("source").alias("containerID"), F.col("n_chars").alias("no_eqns"))
-    return tables.list_one(meta, "7")
+    """One document's row of the index; the test of its key reaches the scan."""
+    rows = _lines(spark, sf_dir)
+    docs = tables.stored_document(rows.select("doi", "eqnID", "ord", "source"), tokens.word_tokens, ["doi"])
+    docs = docs.join(rows.select("doi", "containerID").distinct(), "doi")
+    meta = tables.metadata(docs.withColumns({"format": F.lit("Article"), "publicationYear": F.lit(None).cast("string")}))
+    return tables.list_one(meta, "7").withColumn("no_eqns", F.col("no_eqns").cast("bigint"))
 
 
 @_registered(f"WITH {CORPUS}, {HITS}, {META} SELECT doi, eqnID, format, distance, p_name AS source FROM hits JOIN meta USING (doi)")
@@ -406,13 +415,163 @@ XML = """<R><Article><ArticleDOI>10.1/a</ArticleDOI><JournalID>J1</JournalID><Co
 <Equation ID="E2"><EquationSource Format="MATHML">m</EquationSource></Equation></Article><Book><BookDOI>10.1/b</BookDOI><BookCopyright><CopyrightYear>1999</CopyrightYear></BookCopyright><Chapter><ChapterDOI>10.1/b_1</ChapterDOI></Chapter></Book></R>"""
 
 
+# An order is a file: an article if it is finished, a chapter of a book if it is open, and else one that breaks off. Its lines are
+# displayed and inline equations by turns, of which those with a quantity over 45 have no source in TeX.
+_ORDERS = """(SELECT o_orderkey, o_orderstatus, o_orderpriority, date_format(o_orderdate, 'yyyy') AS year, concat_ws('', transform(array_sort(collect_list(struct(l_linenumber, l_quantity, l_partkey))),
+    l -> concat('<', if(l.l_linenumber % 2 = 0, 'Equation', 'InlineEquation'), ' ID="E', l.l_linenumber, '"><EquationSource Format="', if(l.l_quantity > 45, 'MATHML', 'TEX'), '"> x_', l.l_partkey, ' &lt; 1</EquationSource></', if(l.l_linenumber % 2 = 0, 'Equation', 'InlineEquation'), '>'))) AS e
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)"""
+_FILES = f"""SELECT concat(o_orderkey, if(o_orderkey % 2 = 0, '.xml', '.xml.meta')) AS path, if(o_orderkey % 2 = 0, 'xml', 'xml.meta') AS type, CAST(CASE o_orderstatus
+    WHEN 'F' THEN concat('<R><Article><ArticleDOI>10.2/', o_orderkey, '</ArticleDOI><JournalID>', o_orderpriority, '</JournalID><OnlineDate><Year>1900</Year></OnlineDate><CoverDate><Year>', year, '</Year></CoverDate>', e, '</Article></R>')
+    WHEN 'O' THEN concat('<Book><BookDOI>10.3/b</BookDOI><BookCopyright><CopyrightYear>', year, '</CopyrightYear></BookCopyright><Chapter><ChapterDOI>10.3/b_', o_orderkey, '</ChapterDOI>', e, '</Chapter></Book>')
+    ELSE concat('<R><Article>', e) END AS BINARY) AS content FROM {_ORDERS}"""
+
+
 @_registered(
-    """SELECT * FROM (VALUES ('xml', '10.1/a', 'Article', 'J1', '2002', 'E1', 0, 'x^2', false), ('xml', '10.1/a', 'Article', 'J1', '2002', 'I1', 1, 'y', false), ('xml', '10.1/b_1', 'Chapter', '10.1/b', '1999', NULL, NULL, NULL, false),
-    ('xml.meta', NULL, NULL, NULL, NULL, NULL, NULL, NULL, true)) AS t(type, doi, format, containerID, publicationYear, eqnID, ord, source, failed)"""
+    """WITH o AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'xml' ELSE 'xml.meta' END AS type FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+    e AS (SELECT l_orderkey, 'E' || l_linenumber AS eqnID, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 2, l_linenumber, l_quantity, l_partkey) - 1 AS INTEGER) AS ord, 'x_' || l_partkey || ' < 1' AS source FROM lineitem WHERE l_quantity <= 45)
+    SELECT type, CASE o_orderstatus WHEN 'F' THEN '10.2/' || o_orderkey WHEN 'O' THEN '10.3/b_' || o_orderkey END AS doi, CASE o_orderstatus WHEN 'F' THEN 'Article' WHEN 'O' THEN 'Chapter' END AS format,
+    CASE o_orderstatus WHEN 'F' THEN o_orderpriority WHEN 'O' THEN '10.3/b' END AS containerID, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y') END AS publicationYear, eqnID, ord, source, o_orderstatus = 'P' AS failed
+    FROM o LEFT JOIN e ON o_orderkey = l_orderkey AND o_orderstatus <> 'P'"""
 )
 def xml_ingest(spark, sf_dir):
-    files = spark.createDataFrame([("a.xml", "xml", bytearray(XML.encode())), ("b.xml.meta", "xml.meta", bytearray(b"<R>"))], "path string, type string, content binary")
-    return xml.rows(files).select("type", "doi", "format", "containerID", "publicationYear", "eqnID", "ord", "source", F.col("error").isNotNull().alias("failed"))
+    """Articles, chapters of books and files that break off, made of all orders and their lines."""
+    for name in ("orders", "lineitem"):
+        _table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return xml.rows(spark.sql(_FILES)).select("type", "doi", "format", "containerID", "publicationYear", "eqnID", "ord", "source", F.col("error").isNotNull().alias("failed"))
+
+
+@_registered(
+    """WITH d AS (SELECT n_nationkey, '10.4/' || n_nationkey AS doi, 'R' || n_regionkey AS containerID, s_suppkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey % 5 <> 4),
+    m AS (SELECT doi, any_value(containerID) AS containerID, count(s_suppkey) AS no_eqns FROM d GROUP BY doi)
+    SELECT 'listed' AS step, doi, containerID, no_eqns FROM m UNION ALL SELECT 'stored', doi, containerID, no_eqns FROM m WHERE doi = '10.4/2' UNION ALL SELECT 'total', NULL, NULL, CAST(sum(no_eqns) AS BIGINT) FROM m
+    UNION ALL SELECT 'new', NULL, NULL, 0 UNION ALL SELECT 'failed', NULL, NULL, count(*) FROM nation WHERE n_nationkey % 5 = 4 UNION ALL SELECT 'deleted', NULL, NULL, count(*) FROM m WHERE doi = '10.4/1'
+    UNION ALL SELECT 'found', doi, NULL, count(*) FROM d WHERE s_suppkey % 2 = 0 GROUP BY doi"""
+)
+def store_commands(spark, sf_dir):
+    """A store from empty: files in a folder are put in and indexed; then what it lists, has and finds, and what a deletion leaves."""
+    base = f"{shared.folder(spark)}/store-{uuid.uuid4().hex}"
+    nations, suppliers = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "supplier")
+    lines = suppliers.select(F.col("s_nationkey").alias("n_nationkey"), F.expr("concat('<Equation ID=\"S', s_suppkey, '\"><EquationSource Format=\"TEX\">', if(s_suppkey % 2 = 0, '\\\\alpha', '\\\\beta'), '_{', s_suppkey, '}</EquationSource></Equation>')").alias("e"))
+    content = nations.join(lines, "n_nationkey", "left").groupBy("n_nationkey", "n_regionkey").agg(F.concat_ws("", F.collect_list("e")).alias("e"))
+    content = content.select("n_nationkey", F.concat(F.lit("<Article><ArticleDOI>10.4/"), "n_nationkey", F.lit("</ArticleDOI><JournalID>R"), "n_regionkey", F.lit("</JournalID>"), "e", F.when(F.col("n_nationkey") % 5 == 4, "").otherwise("</Article>")).alias("value"))
+    for key, part in ((k, content.where(F.col("n_nationkey") == k)) for k in [r[0] for r in nations.select("n_nationkey").collect()]):
+        part.select("value").coalesce(1).write.option("wholetext", True).text(f"{base}/in/{key}")
+    spark_files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{base}/in")
+    store = Store(spark, f"{base}/store")
+    store.init()
+    rows = [("new", None, None, store.documents().count() + store.postings().count())]
+    errors = store.add_files(spark_files.select("path", F.lit("xml").alias("type"), "content"))
+    store.update()
+    listed, total = tables.list_all(store.metadata())
+    rows += [("failed", None, None, len(errors)), ("total", None, None, total)]
+    kept = F.col("no_eqns").cast("bigint").alias("no_eqns")
+    got = store.get("10.4/2").select(F.lit("stored").alias("step"), "doi", "containerID", F.size(F.map_keys("source")).cast("bigint").alias("no_eqns"))
+    hits = search.find_query(store.equations(), parse('"\\alpha"'), 1.0, index=store.postings())
+    found = search.collate(hits).select(F.lit("found").alias("step"), "doi", F.lit(None).cast("string").alias("containerID"), F.col("count").alias("no_eqns"))
+    shown = shared.checkpointed(listed.select(F.lit("listed").alias("step"), "doi", "containerID", kept).unionByName(got).unionByName(found))
+    before = store.documents().count()
+    store.delete_files(spark_files.where(F.col("path").contains("/in/1/")).select("path", F.lit("xml").alias("type"), "content"))
+    rows.append(("deleted", None, None, before - store.documents().count()))
+    shared.remove(spark, base)
+    return shown.unionByName(spark.createDataFrame(rows, "step string, doi string, containerID string, no_eqns bigint"))
+
+
+# Brands as documents, with their parts' names as equations.
+BRANDS = f"WITH {PARTS}, eq AS (SELECT '10.5/' || p_brand AS doi, CAST(p_partkey AS VARCHAR) AS eqnID, s, p_part.p_name FROM part p_part JOIN parts ON p_partkey = id)"
+BRAND_HITS = f"hits AS (SELECT doi, eqnID, distance, p_name FROM eq JOIN (SELECT s, CAST({_sql_similar(parse(AND, _characters))} AS INTEGER) AS distance FROM (SELECT DISTINCT s FROM parts)) USING (s) WHERE distance IS NOT NULL)"
+
+
+def _brands(spark, sf_dir):
+    eqs = search.equations(_table(spark, sf_dir, "part").select(F.concat(F.lit("10.5/"), "p_brand").alias("doi"), F.col("p_partkey").cast("string").alias("eqnID"), "p_name"), tokens.character_tokens(F.col("p_name")))
+    meta = eqs.select("doi").distinct().select("doi", F.lit("B").alias("containerID"), F.lit("Article").alias("format"), F.lit("2000").alias("publicationYear"))
+    return eqs, meta
+
+
+_SHOWN = """'<' || 'Article doi="' || replace(doi, '_', '/') || '" count="' || count || '">' || equations || '</Article>'"""
+_AND_TEXT = '(&quot;red&quot; AND &quot;widgit&quot;)'.replace("&quot;", '"')
+
+
+@_registered(
+    f"""{BRANDS}, {BRAND_HITS}, d AS (SELECT doi, count(*) AS count, min(distance) AS best, string_agg('<equation distance="' || distance || '" id="' || eqnID || '"/>', '' ORDER BY distance, eqnID) AS equations FROM hits GROUP BY doi),
+    r AS (SELECT *, row_number() OVER (ORDER BY best, replace(doi, '/', '_') DESC) AS rank FROM d)
+    SELECT 1 AS request, 200 AS code, '<results><query>{_AND_TEXT}</query>' || coalesce((SELECT string_agg({_SHOWN}, '' ORDER BY rank) FROM r WHERE rank BETWEEN 3 AND 6), '') || '</results>' AS body
+    UNION ALL SELECT 2, 200, CASE WHEN (SELECT count(*) FROM d) > 1 THEN '<LimitExceeded/>' ELSE '<results><query>{_AND_TEXT}</query>' || coalesce((SELECT string_agg({_SHOWN}, '' ORDER BY rank) FROM r), '') || '</results>' END
+    UNION ALL SELECT 3, 200, '<QueryParseError/>' UNION ALL SELECT 4, 200, '<ArgParseError/>' UNION ALL SELECT 5, 200, '<ArgParseError/>' UNION ALL SELECT 6, CASE WHEN (SELECT count(*) FROM d) > 0 THEN 500 ELSE 200 END, NULL"""
+)
+def service_answers(spark, sf_dir):
+    """Request lines with a query string or a body, and their answers: results, and each kind of error."""
+    eqs, meta = _brands(spark, sf_dir)
+    term = json.dumps(AND)
+    requests = [f'{{"query": {{"searchTerm": {term}, "start": "2", "count": "4"}}}}', f'{{"query": {{}}, "body": {json.dumps(json.dumps({"searchTerm": AND, "limit": "1"}))}}}', '{"query": {"searchTerm": "red"}}', "no JSON", f'{{"query": {{"searchTerm": {term}, "count": "all"}}}}']
+    got = [*service.answers(requests, eqs, meta, preprocess=_characters), *service.answers([requests[0]], eqs, meta.limit(0), preprocess=_characters)]
+    rows = [(n, json.loads(x)["code"], json.loads(x).get("body")) for n, x in enumerate(got, 1)]
+    return spark.createDataFrame(rows, "request int, code int, body string")
+
+
+@_registered(f"{BRANDS}, {BRAND_HITS} SELECT doi, eqnID, distance, p_name AS source FROM hits")
+def client_search(spark, sf_dir):
+    """A client's search, with the sources of what it finds."""
+    eqs, meta = _brands(spark, sf_dir)
+    got = service.client_search(eqs, meta, eqs.select("doi", "eqnID", F.col("p_name").alias("source")), AND, searchTimeout=300, limit=1_000_000, preprocess=_characters)
+    return spark.createDataFrame([(d, *e) for d, found in got["results"] for e in found], "doi string, eqnID string, distance int, source string")
+
+
+@_registered(f"{BRANDS}, {BRAND_HITS} SELECT doi, eqnID, distance FROM hits")
+def indexed_search(spark, sf_dir):
+    """A boolean search through postings."""
+    eqs, _ = _brands(spark, sf_dir)
+    index = shared.checkpointed(postings.laid_out(postings.postings(eqs, ["doi", "eqnID"])))
+    return search.find_query(eqs, parse(AND, _characters), PRECISION, index=index).select("doi", "eqnID", "distance")
+
+
+def _sql_whole(q: Query) -> str:
+    if isinstance(q, Atom):
+        return _sql_distance(f"'{q.plain}'")
+    return f"{'greatest' if isinstance(q, And) else 'least'}({_sql_whole(q.left)}, {_sql_whole(q.right)})"
+
+
+@_registered(f"WITH {PARTS}, d AS (SELECT s, CAST({_sql_whole(parse(NESTED, _characters))} AS INTEGER) AS distance FROM (SELECT DISTINCT s FROM parts)) SELECT id, '{to_string(parse(NESTED, _characters))}' AS query, distance FROM parts JOIN d USING (s)")
+def compound_distance(spark, sf_dir):
+    """A query's canonical text, and its distance from every name without a cutoff."""
+    q = parse(NESTED, _characters)
+    return _parts(spark, sf_dir).select("id", F.lit(to_string(q)).alias("query"), plan.whole_distance(q, F.col("tokens")).alias("distance"))
+
+
+_escaped = lambda c: f"replace({c}, chr(92), chr(92) || chr(92))"
+_text_answer = lambda code, body: f"""'{{"code":{code},"body":"' || {body} || '","headers":{{"Content-type":"text/plain"}}}}'"""
+
+
+@_registered(
+    f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 4 THEN {_text_answer(400, "'Error: ' || chr(39) || 'format' || chr(39)")} WHEN p_partkey % 7 = 0 THEN {_text_answer(500, "'Error: ' || chr(125) || ' ends nothing that is open'")}
+    WHEN p_partkey % 5 = 3 THEN {_text_answer(400, "'Error: bad format argument'")} WHEN p_partkey % 5 = 0 THEN '{{"code":200,"json":' || {SQL_JSON} || '}}' WHEN p_partkey % 5 = 1 THEN {_text_answer(200, _escaped(SQL_PLAIN))}
+    ELSE '{{"code":200,"json":{{"json":' || {SQL_JSON} || ',"plain":"' || {_escaped(SQL_PLAIN)} || '"}}}}' END AS answer FROM part"""
+)
+def preprocess_requests(spark, sf_dir):
+    """Requests to preprocess as JSON lines, in each format, without one, in one that doesn't exist, and with bad formulae."""
+    kind = F.try_element_at(F.array(*map(F.lit, ("json", "plain", "json-plain", "xml"))), (F.col("id") % 5 + 1).cast("int"))
+    query = F.to_json(F.struct(F.struct(kind.alias("format"), "latex", "id").alias("query")))
+    got = service.preprocess_all(_formulae(spark, sf_dir).select(query.alias("value")))
+    return got.select(F.get_json_object("request", "$.query.id").cast("bigint").alias("id"), "answer")
+
+
+@_registered(f"WITH {PARTS}, t AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS term FROM part) SELECT term, (SELECT count(*) FROM parts WHERE contains(s, term)) AS n FROM t")
+def term_replay(spark, sf_dir):
+    """Terms from a file, one to a line, replayed one after the other."""
+    path = f"{shared.folder(spark)}/terms-{uuid.uuid4().hex}"
+    _table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1))).distinct().write.text(path)
+    found, eqs = {}, _parts(spark, sf_dir)
+    for term, _ in logs.replay(logs.term_file(spark, path), lambda t: found.update({t: search.find_exact(eqs, _characters(t)[0]).count()})):
+        assert term in found
+    shared.remove(spark, path)
+    return spark.createDataFrame([*found.items()], "term string, n bigint")
+
+
+@_registered(f"WITH {CORPUS} SELECT doi, count(*) AS count FROM corpus WHERE contains(s, '{EXACT}') AND CAST(substr(doi, 9) AS BIGINT) % 3 <> 0 GROUP BY doi")
+def collate_dummy(spark, sf_dir):
+    """Documents of hits, where a third of the orders have the dummy's key."""
+    eqs = _corpus(spark, sf_dir)
+    eqs = eqs.withColumn("doi", F.when(F.substring("doi", 9, 20).cast("bigint") % 3 == 0, "").otherwise(F.col("doi")))
+    return search.collate(search.find_exact(eqs, _characters(EXACT)[0])).select("doi", "count")
 
 
 @_registered(

@@ -6,7 +6,9 @@ import json
 import time
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .functions import latex
 from .operators import search
@@ -22,14 +24,14 @@ def requested(request: dict) -> dict:
         raise search.ArgParseError(str(e)) from e
 
 
-def answers(lines: Iterable[str], eqs: DataFrame, metadata: DataFrame, index: DataFrame | None = None) -> Iterator[str]:
+def answers(lines: Iterable[str], eqs: DataFrame, metadata: DataFrame, index: DataFrame | None = None, preprocess: search.Preprocess = search.preprocess) -> Iterator[str]:
     """An answer in compact JSON for each request, one to a line."""
     for line in lines:
         try:
             given = requested(json.loads(line))
         except (search.ArgParseError, ValueError):
             given = {}
-        yield json.dumps(search.answer(eqs, metadata, given, index=index), separators=(",", ":"))
+        yield json.dumps(search.answer(eqs, metadata, given, preprocess, index), separators=(",", ":"))
 
 
 def preprocess(request: dict) -> dict:
@@ -55,11 +57,21 @@ def preprocessed(lines: Iterable[str]) -> Iterator[str]:
         yield json.dumps(preprocess(json.loads(line)), separators=(",", ":"))
 
 
-def client_search(eqs: DataFrame, metadata: DataFrame, sources: DataFrame, searchTerm: str, searchTimeout: float = 20.0, limit: int = 2500, precision: float = 0.7, index: DataFrame | None = None) -> dict:
+def preprocess_all(requests: DataFrame, column: str = "value") -> DataFrame:
+    """(request, answer) of every request to preprocess, by Arrow batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"request": b["request"], "answer": list(preprocessed(b["request"]))})
+
+    return requests.select(F.col(column).alias("request")).mapInPandas(run, "request string, answer string")
+
+
+def client_search(eqs: DataFrame, metadata: DataFrame, sources: DataFrame, searchTerm: str, searchTimeout: float = 20.0, limit: int = 2500, precision: float = 0.7, index: DataFrame | None = None, preprocess: search.Preprocess = search.preprocess) -> dict:
     """Seconds taken, and the results with their equations' sources or the name of the error."""
     args, began = search.Arguments(searchTerm, float(searchTimeout), int(limit), precision=float(precision)), time.monotonic()
     try:
-        rows = search.with_timeout(eqs.sparkSession, args.searchTimeout, lambda: search.with_sources(search.search(eqs, metadata, args, index=index)[1], sources).collect())
+        rows = search.with_timeout(eqs.sparkSession, args.searchTimeout, lambda: search.with_sources(search.search(eqs, metadata, args, preprocess, index=index)[1], sources).collect())
     except (search.SearchError, search.QueryParseError) as e:
         return {"time": time.monotonic() - began, "error": type(e).__name__}
     found: dict[str, list] = {}

@@ -68,14 +68,18 @@ def rows(files: DataFrame) -> DataFrame:
     return files.select("path", "type", "content").mapInPandas(_rows, SCHEMA)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each equation of each document under a folder, one without an equation for documents that have
-    none, and one with just path and error for a file that can't be parsed. Files end in .xml or .xml.meta in
-    any case, which is their type."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, type, content) of the files under a folder that end in .xml or .xml.meta in any case, which is their type."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     low = F.lower("path")
     kind = F.when(low.endswith(".xml"), "xml").when(low.endswith(".xml.meta"), "xml.meta")
-    return rows(files.select("path", kind.alias("type"), "content").where("type IS NOT NULL"))
+    return found.select("path", kind.alias("type"), "content").where("type IS NOT NULL")
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each equation of each document under a folder, one without an equation for documents that have
+    none, and one with just path and error for a file that can't be parsed."""
+    return rows(files(spark, folder))
 
 
 def flat_articles(spark: SparkSession, path: str) -> DataFrame:

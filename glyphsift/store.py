@@ -32,9 +32,9 @@ class Store:
     def _save(self, documents: DataFrame) -> None:
         snapshot.save({"documents": documents}, self.docs)
 
-    def _read(self, folder: str) -> tuple[DataFrame, DataFrame]:
-        """A folder's documents, and (path, error) of files that can't be parsed."""
-        rows = xml.read(self.spark, folder).persist()
+    def _read(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The documents of files(path, type, content), and (path, error) of those that can't be parsed."""
+        rows = checkpointed(xml.rows(files))
         keys = ["doi", "type", "format", "containerID", "publicationYear"]
         good = rows.where("error IS NULL AND doi IS NOT NULL")
         # An equation without an id can't be named by a search; a document without equations still is one.
@@ -44,17 +44,24 @@ class Store:
         bare = bare.withColumns({"source": empty, "content": F.transform_values(empty, lambda _, __: F.array().cast("array<string>"))})
         return full.unionByName(bare.select(*full.columns)), rows.where("error IS NOT NULL").select("path", "error")
 
-    def add(self, folder: str) -> list[tuple[str, str]]:
-        """Puts a folder's documents in; errors of single files don't keep out the others."""
-        new, errors = self._read(folder)
+    def add_files(self, files: DataFrame) -> list[tuple[str, str]]:
+        """Puts files(path, type, content) in; errors of single files don't keep out the others."""
+        new, errors = self._read(files)
         self._save(tables.upsert(self.documents(), new.select(*self.documents().columns)))
         return [tuple(r) for r in errors.collect()]
 
-    def delete(self, folder: str) -> list[tuple[str, str]]:
-        gone, errors = self._read(folder)
+    def delete_files(self, files: DataFrame) -> list[tuple[str, str]]:
+        gone, errors = self._read(files)
         self._save(tables.delete(self.documents(), gone.where("format = 'Article'").select("doi", "type")))
         return [tuple(r) for r in errors.collect()]
 
+    def add(self, folder: str) -> list[tuple[str, str]]:
+        """Puts the files of a folder in."""
+        return self.add_files(xml.files(self.spark, folder))
+
+    def delete(self, folder: str) -> list[tuple[str, str]]:
+        return self.delete_files(xml.files(self.spark, folder))
+
     def reprocess(self, tokens=latex_tokens) -> None:
         self._save(tables.reprocess(self.documents(), tokens))
 
