@@ -400,23 +400,36 @@ def test_leaks_without_broadcast(spark, monkeypatch):
 
 
 def plain_top_k(rows, every, k):
-    sound = {i: [int(np.floor(1024 * float(x))) for x in v] for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    sound = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if v is not None and i is not None and all(x is not None and np.isfinite(x) for x in v)]
     found = []
-    for q in sorted(i for i in sound if i % every == 0):
-        scores = sorted(((-sum(a * b for a, b in zip(sound[q], v)), i) for i, v in sound.items() if i != q and len(v) == len(sound[q])))
+    for q in sorted({i for i, _ in sound if i % every == 0}):
+        own = min(v for i, v in sound if i == q)
+        scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in sound if i != q and len(v) == len(own))
         found += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:k], 1)]
     return found
 
 
-@pytest.mark.parametrize("shard", [40, 8192])
-def test_top_k_is_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "bytes_"), [(40, 0), (8192, 32 << 20)])
+def test_top_k_is_brute_force(spark, monkeypatch, shard, bytes_):
     monkeypatch.setattr(balltree, "SHARD", shard)
-    monkeypatch.setattr(balltree, "QUERIES", 5)
+    monkeypatch.setattr(balltree, "BROADCAST_BYTES", bytes_)
     monkeypatch.setattr(balltree, "LEAF", 4)
+    monkeypatch.setattr(balltree, "CELLS", 5)
     r = np.random.default_rng(1)
     vectors = [r.normal(size=6).astype("f4").tolist() for _ in range(120)] + [[0.5] * 6] * 80 + [None, [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("nan")] * 6, [float("inf")] * 6, [1.0], [2.0], []]
     rows = list(enumerate(vectors))
-    got = [tuple(x) for x in balltree.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("v", F.lit(1)), every=10).collect()]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumns({c: F.lit(1) for c in ("v", "dim", "shard", "q", "tree")})
+    got = [tuple(x) for x in balltree.top_k(frame(rows), every=10).collect()]
+    assert sorted(got) == plain_top_k(rows, 10, 10)
+    # Ids that occur with other vectors, and rows that are all alike, very often.
+    rows += [(10, vectors[3]), (20, [3.0]), (7, vectors[8]), (None, vectors[1])] + [(33, vectors[2])] * 300 + [(50, vectors[5])] * 300
+    got = [tuple(x) for x in balltree.top_k(frame(rows), every=10).collect()]
+    assert sorted(got) == plain_top_k(rows, 10, 10)
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    rows = [(0, [2.0**20, 1.0])] + [(k, [2.0**20, float(k)]) for k in range(1, 40)]
+    got = [tuple(x) for x in balltree.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), every=10).collect()]
     assert sorted(got) == plain_top_k(rows, 10, 10)
 
 
