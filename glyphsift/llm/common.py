@@ -16,21 +16,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that Spark hands to Python, unless the session says otherwise than Spark does: texts may be long, and
+#: both sides hold a batch whole.
+BATCH, SPARKS_BATCH = 256, "10000"
 #: Keys, of some 50 bytes each, up to which without() broadcasts them.
 BROADCAST_KEYS = 500_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == SPARKS_BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., Any]], step: int = 256) -> DataFrame:
     """Applies a Python function to lists of values, Arrow batches in and out.
 
     make() runs once for each task and returns f(*lists), which gets lists of the columns' values and
     returns one list for each column of schema. A batch is worked through in runs of `step` rows, so what
-    Python holds as objects stays bounded however many rows Spark puts into an Arrow batch.
+    Python holds as objects stays bounded however many rows Spark puts into an Arrow batch. What Arrow holds and doesn't
+    use is given back at a task's end, as workers stay.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     out = to_arrow_schema(_parse_datatype_string(schema))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -38,6 +49,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(f(*(c.to_pylist() for c in part.columns)), out, strict=True)], schema=out)
+        pa.default_memory_pool().release_unused()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -35,8 +35,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import BYTE_CHARS
 from ..shared import folder as shared_folder
+from .bpe import BYTE_CHARS
+from .common import small_batches
 
 MAGIC, FOOTER = b"GSSTABLE", struct.Struct("<5Q2I8s")
 BLOCK_BYTES, BLOOM_BITS, BLOOM_PROBES = 1 << 16, 10, 7
@@ -243,8 +244,19 @@ def encoder(path: str) -> CachedEncoder:
     return CachedEncoder(path)
 
 
+#: Schemes of Hadoop's file systems, and those that Arrow has for the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}
+
+
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+    """Arrow's file system for a folder that Spark names. A scheme that Arrow doesn't know is an error that says so."""
+    scheme, _, rest = uri.partition(":")
+    if rest.startswith("/") and len(scheme) > 1:
+        uri = f"{SCHEMES.get(scheme, scheme)}:{rest}"
+    try:
+        return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"token shards can't be written to {uri}: set spark.checkpoint.dir to a folder in a file system that Arrow has ({e})") from e
 
 
 def shard_path(folder: str, shard: int) -> str:
@@ -268,16 +280,22 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
         shard, writer, last, nth = TaskContext.get().partitionId(), None, None, 0
         store, base = _filesystem(folder)
         temporary = f"{shard_path(base, shard)}.{uuid.uuid4().hex}"
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                if writer is None:
-                    out = store.open_output_stream(temporary)
-                    writer = Writer(out, enc.width)
-                for doc_id, value in zip(ids, enc.encode(texts), strict=True):
-                    nth = nth + 1 if writer.entries and doc_id == last else 0
-                    last = doc_id
-                    writer.add(key_of(doc_id, nth), value + end)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                    if writer is None:
+                        out = store.open_output_stream(temporary)
+                        writer = Writer(out, enc.width)
+                    for doc_id, value in zip(ids, enc.encode(texts), strict=True):
+                        nth = nth + 1 if writer.entries and doc_id == last else 0
+                        last = doc_id
+                        writer.add(key_of(doc_id, nth), value + end)
+        except BaseException:
+            if writer is not None:
+                out.close()
+                store.delete_file(temporary)
+            raise
         if writer is not None:
             writer.finish()
             out.close()
@@ -285,12 +303,18 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
             yield pa.RecordBatch.from_pylist([{"shard": shard, "docs": writer.entries, "ids": writer.ids}])
 
     spark = docs.sparkSession
+    small_batches(spark)
     store, base = _filesystem(folder)
     store.create_dir(base, recursive=True)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     manifest = rows.mapInArrow(run, "shard bigint, docs bigint, ids bigint")
-    return sorted(tuple(r) for r in manifest.collect())
+    found = sorted(tuple(r) for r in manifest.collect())
+    # What attempts on lost executors have left.
+    for left in store.get_file_info(fs.FileSelector(base)):
+        if not left.path.endswith(".sst"):
+            store.delete_file(left.path)
+    return found
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: list[tuple[int, int, int]]) -> DataFrame:
