@@ -10,13 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, kept, scored
+from .common import held_out, kept, scored, small_batches
 from .pieces import words_of
 
 #: Lengths of grams, of which a word is taken with a space on both sides; buckets that they are hashed into;
 #: documents to learn from, at most, half of them of each class; documents that a gram must be in (fewer for small
 #: samples); folds for the cut; and the score that is toxic.
 SIZES, BUCKETS, MOST_ROWS, LEAST_DOCS, FOLDS, TOXIC = (3, 4, 5, 6), 1 << 20, 8000, 20, 3, 0.7
+#: Of the regression: length of the first steps, weight of its weights' squares; and the precision that the cut must have on
+#: rows that weren't learnt from.
+RATE, DECAY, PRECISION = 50, 0.1, 0.9
 
 
 def grams(word: str) -> set[int]:
@@ -66,10 +69,12 @@ def _ratio(with_gram: np.ndarray) -> np.ndarray:
     return np.log(shares[1]) - np.log(shares[0])
 
 
-def _solve(row: np.ndarray, index: np.ndarray, value: np.ndarray, toxic: np.ndarray, use: np.ndarray, columns: int, rounds: int, rate: float = 1.0, decay: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on the rows in use, by AdaGrad over all of them at once."""
+def _solve(row: np.ndarray, index: np.ndarray, value: np.ndarray, toxic: np.ndarray, use: np.ndarray, columns: int, rounds: int, decay: float = DECAY) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on the rows in use, by AdaGrad over all of them at once. The first steps move
+    the margin of a row of mean length by RATE at most, so that it stays in bounds however many grams rows have."""
     share = toxic[use].mean()
     w, b, n = np.zeros(columns), float(np.log(share / (1 - share))), use.sum()
+    rate = RATE / max(1.0, float(np.abs(value).sum()) / len(toxic))
     seen_w, seen_b = np.full(columns, 1e-8), 1e-8
     for _ in range(rounds):
         margin = b + np.bincount(row, value * w[index], minlength=len(toxic))
@@ -79,23 +84,26 @@ def _solve(row: np.ndarray, index: np.ndarray, value: np.ndarray, toxic: np.ndar
         seen_w += step**2
         seen_b += step_b**2
         w -= rate * step / np.sqrt(seen_w)
-        b -= rate * step_b / np.sqrt(seen_b)
+        b -= step_b / np.sqrt(seen_b)
     return w, b
 
 
 def best_cut(margins: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> float:
-    """The margin from which on rows are best taken to be toxic: with the highest F1 of weighted rows, midway to the
-    next lower margin; of several such cuts the highest."""
+    """The margin from which on rows are best taken to be toxic: of the cuts with a precision of PRECISION the one with the
+    highest F1 of weighted rows, and of several such the highest, midway to the next lower margin. Where too little has
+    been learnt for any, it is 0, which is where the regression itself takes both classes to be as likely."""
     order = np.argsort(-margins, kind="stable")
     m, w, t = margins[order], weights[order], toxic[order]
     right, taken = np.cumsum(w * t), np.cumsum(w)
-    f1 = 2 * right / (taken + (weights * toxic).sum())
+    f1 = np.where(right >= PRECISION * taken, 2 * right / (taken + (weights * toxic).sum()), -1)
     f1[:-1][m[:-1] == m[1:]] = -1
     k = int(f1.argmax())
+    if f1[k] <= 0:
+        return 0.0
     return float((m[k] + m[k + 1]) / 2) if k + 1 < len(m) else float(m[k])
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 400, weights: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel:
+def fit(texts: list[str], labels: list[int], rounds: int = 200, weights: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel:
     """Logistic regression on how many distinct words of a document have a gram, times the gram's log-count ratio.
 
     Grams in few documents, or of ratio near 0, are left out. What cut is best is learnt from margins of rows that
@@ -132,15 +140,18 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, weights: tuple[f
         times.append(seen.astype(np.float32))
         sizes.append(len(found))
     index, times, row = np.concatenate(index), np.concatenate(times), np.repeat(np.arange(n, dtype=np.int32), sizes)
-    own = [r[index] * times for r in ratios]
+    # One model's values at a time, as there are as many as grams in all documents.
+    values = lambda f: ratios[f][index] * times
     margins, every = np.zeros(n), np.ones(n, bool)
     for f in range(FOLDS):
         seen = fold != f
         if toxic[seen].all() or not toxic[seen].any():
             continue
-        w, b = _solve(row, index, own[f + 1], toxic, seen, len(picked), rounds)
-        margins[~seen] = (b + np.bincount(row, own[f + 1] * w[index], minlength=n))[~seen]
-    w, b = _solve(row, index, own[0], toxic, every, len(picked), rounds)
+        value = values(f + 1)
+        w, b = _solve(row, index, value, toxic, seen, len(picked), rounds)
+        margins[~seen] = (b + np.bincount(row, value * w[index], minlength=n))[~seen]
+        del value
+    w, b = _solve(row, index, values(0), toxic, every, len(picked), rounds)
     out[picked] = w * ratios[0]
     cut = best_cut(margins, toxic, np.where(toxic, weights[1], weights[0]))
     return ToxicityModel(out, float(b - cut + np.log(TOXIC / (1 - TOXIC))))
@@ -172,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Toxicity
     chosen = first(able, 0, *ids).union(first(able, 1, *ids))
     rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("key", F.xxhash64("text")).dropDuplicates(["doc_id", "toxic", "key"])
     rows = first(rows, 0, *ids, "key").union(first(rows, 1, *ids, "key")).select("doc_id", "toxic", "text")
+    small_batches(docs.sparkSession)
     # A row of a class stands for so many.
     weights = tuple(there.get(t, 0) / max(1, min(there.get(t, 0), most // 2)) for t in (0, 1))
     got = rows.repartition(1).mapInPandas(_fitted(weights), "weights binary, bias double").collect()
