@@ -79,8 +79,9 @@ def test_best_cut_is_brute_force():
         if not t.any():
             continue
         f1 = lambda c: 2 * w[(m >= c) & t].sum() / (w[m >= c].sum() + w[t].sum())  # noqa: B023, E731
+        sound = [c for c in m if w[(m >= c) & t].sum() >= 0.9 * w[m >= c].sum()]
         cut = toxicity.best_cut(m, t, w)
-        assert f1(cut) == max(f1(c) for c in m)
+        assert f1(cut) == max(map(f1, sound)) if sound else cut == 0
 
 
 def test_fit_is_brute_force():
@@ -103,12 +104,12 @@ def test_fit_is_brute_force():
         x = np.array([[bags[i][g] * (f(g) if abs(f(g)) >= 1 else 0) for g in columns] for i in range(60)])
         use = np.isin(np.arange(60), rows)
         w, b = np.zeros(len(columns)), math.log(toxic[use].mean() / (1 - toxic[use].mean()))
-        sw, sb = np.full(len(w), 1e-8), 1e-8
+        sw, sb, rate = np.full(len(w), 1e-8), 1e-8, 50 / max(1, np.abs(x).sum() / 60)
         for _ in range(30):
             e = (1 / (1 + np.exp(-(b + x @ w))) - toxic) * use
-            gw, gb = x.T @ e / use.sum() + 1e-2 * w, e.sum() / use.sum()
+            gw, gb = x.T @ e / use.sum() + 0.1 * w, e.sum() / use.sum()
             sw, sb = sw + gw**2, sb + gb**2
-            w, b = w - gw / np.sqrt(sw), b - gb / math.sqrt(sb)
+            w, b = w - rate * gw / np.sqrt(sw), b - gb / math.sqrt(sb)
         return b + x @ w, {g: v * (f(g) if abs(f(g)) >= 1 else 0) for g, v in zip(columns, w)}, b
 
     seen = Counter(g for b in bags for g in b)

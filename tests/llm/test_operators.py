@@ -146,6 +146,21 @@ def test_sstable_round_trip(spark, docs, none, tmp_path):
     assert sstable.token_table(none, BYTE).count() == 0
 
 
+def test_file_systems(tmp_path):
+    for uri in (f"file:{tmp_path}/x", f"file://{tmp_path}/x"):
+        assert sstable._filesystem(uri)[1] == f"{tmp_path}/x"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sstable._filesystem("nosuch://bucket/x")
+
+
+def test_failed_attempts_leave_nothing(spark, tmp_path):
+    (tmp_path / "shard-000000.sst.0123").write_bytes(b"half")
+    df = spark.createDataFrame([(1, "a b"), (2, None)], DOCS)
+    found = sstable.write_shards(df, f"file:{tmp_path}", BYTE)
+    assert sum(f[1] for f in found) == 2
+    assert {p.suffix for p in tmp_path.iterdir()} == {".sst"}
+
+
 def test_sstable_lookups(tmp_path):
     path, r = tmp_path / "x.sst", random.Random(7)
     values = {sstable.key_of(k): bytes(r.randrange(256) for _ in range(2 * r.randrange(900))) for k in sorted(r.sample(range(-(10**6), 10**6), 500))}

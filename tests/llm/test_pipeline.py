@@ -2,9 +2,11 @@
 
 import hashlib
 
+import pytest
+
 from glyphsift.llm import bpe
 from glyphsift.llm.queries import oracle_sql, queries, tokenizer_path
-from tests.llm.test_operators import ITEM, prose
+from tests.llm.test_operators import ITEM, clashing, prose
 
 
 def test_pipeline(spark, tmp_path):
@@ -27,6 +29,38 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+ROWS = [(1, prose(60, 1)), (1, prose(60, 2)), (2, prose(60, 1)), (2, prose(60, 1)), (3, prose(60, 3) + " idiot"), (3, prose(60, 4)), (4, ITEM), (4, prose(60, 5)), (5, None), (6, ""), (7, "12 !"), (None, prose(60, 6)), (None, None), (8, prose(9000, 7))]
+
+
+def write_tables(spark, folder, rows):
+    """Tables whose labels and languages are learnt from documents of their own."""
+    docs = [(k, t, "en", "s", len(t or "")) for k, t in rows]
+    docs += [(k, prose(40, k) + (" idiot" if k % 3 == 0 else ""), "en", "s", 9) for k in range(1000, 1150) if rows]
+    write = lambda rows, schema, name: clashing(spark.createDataFrame(rows, schema)).write.parquet(f"{folder}/{name}.parquet")
+    write(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint", "documents")
+    write([(k, int(k % 3 == 0)) for k in range(1000, 1150)], "doc_id bigint, toxic int", "labels")
+    write([(1, ITEM)], "item_id bigint, text string", "benchmark")
+
+
+@pytest.mark.parametrize(("stage", "gone"), [("language", [(5, None), (6, ""), (7, "12 !"), (None, None)]), ("toxicity", [ROWS[4]]), ("near_duplicates", [ROWS[2], ROWS[3], (6, "")]), ("decontamination", [ROWS[6]])])
+def test_stages_decide_by_row(spark, tmp_path, stage, gone):
+    import corpus_pipeline
+
+    write_tables(spark, tmp_path, ROWS)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect() if r.doc_id is None or r.doc_id < 1000), key=repr)
+    assert kept == sorted((r for r in ROWS if r not in gone), key=repr)
+
+
+def test_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    write_tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registered():
     import __spark_entry__
 
