@@ -293,7 +293,7 @@ def change_feed_batches(spark, sf_dir):
     """The same in batches by key."""
     folder = f"{shared.folder(spark)}/feed-{uuid.uuid4().hex}"
     updates = _updates(spark, sf_dir)
-    feed.run(spark, updates, folder, max(feed.BATCH, -(-updates.count() // 12)))
+    feed.run(spark, updates, folder, max(feed.BATCH, -(-updates.count() // 4)))
     return feed.documents(spark, folder)
 
 
@@ -454,13 +454,12 @@ def store_commands(spark, sf_dir):
     lines = suppliers.select(F.col("s_nationkey").alias("n_nationkey"), F.expr("concat('<Equation ID=\"S', s_suppkey, '\"><EquationSource Format=\"TEX\">', if(s_suppkey % 2 = 0, '\\\\alpha', '\\\\beta'), '_{', s_suppkey, '}</EquationSource></Equation>')").alias("e"))
     content = nations.join(lines, "n_nationkey", "left").groupBy("n_nationkey", "n_regionkey").agg(F.concat_ws("", F.collect_list("e")).alias("e"))
     content = content.select("n_nationkey", F.concat(F.lit("<Article><ArticleDOI>10.4/"), "n_nationkey", F.lit("</ArticleDOI><JournalID>R"), "n_regionkey", F.lit("</JournalID>"), "e", F.when(F.col("n_nationkey") % 5 == 4, "").otherwise("</Article>")).alias("value"))
-    for key, part in ((k, content.where(F.col("n_nationkey") == k)) for k in [r[0] for r in nations.select("n_nationkey").collect()]):
-        part.select("value").coalesce(1).write.option("wholetext", True).text(f"{base}/in/{key}")
-    spark_files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{base}/in")
+    content.repartition("n_nationkey").write.partitionBy("n_nationkey").text(f"{base}/in")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{base}/in")
     store = Store(spark, f"{base}/store")
     store.init()
     rows = [("new", None, None, store.documents().count() + store.postings().count())]
-    errors = store.add_files(spark_files.select("path", F.lit("xml").alias("type"), "content"))
+    errors = store.add_files(files.select("path", F.lit("xml").alias("type"), "content"))
     store.update()
     listed, total = tables.list_all(store.metadata())
     rows += [("failed", None, None, len(errors)), ("total", None, None, total)]
@@ -470,7 +469,7 @@ def store_commands(spark, sf_dir):
     found = search.collate(hits).select(F.lit("found").alias("step"), "doi", F.lit(None).cast("string").alias("containerID"), F.col("count").alias("no_eqns"))
     shown = shared.checkpointed(listed.select(F.lit("listed").alias("step"), "doi", "containerID", kept).unionByName(got).unionByName(found))
     before = store.documents().count()
-    store.delete_files(spark_files.where(F.col("path").contains("/in/1/")).select("path", F.lit("xml").alias("type"), "content"))
+    store.delete_files(files.where(F.col("path").contains("/n_nationkey=1/")).select("path", F.lit("xml").alias("type"), "content"))
     rows.append(("deleted", None, None, before - store.documents().count()))
     shared.remove(spark, base)
     return shown.unionByName(spark.createDataFrame(rows, "step string, doi string, containerID string, no_eqns bigint"))
