@@ -172,7 +172,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row's whole text.
 
     Rows are independent: repeated ones give equal rows, empty and null texts have no ids and the digests of
-    the empty string, an empty table gives no rows, and other columns play no part.
+    the empty string, very long ones are encoded whole, an empty table gives no rows, and other columns, whatever
+    their names, play no part.
     """
 
     def make():

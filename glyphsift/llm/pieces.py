@@ -136,8 +136,8 @@ def counter(path: str) -> TokenCounter:
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, n_chars) of every row's whole text.
 
-    Rows are independent: repeated ones give equal rows, null and empty texts have no tokens, an empty table
-    gives no rows, and other columns play no part.
+    Rows are independent: repeated ones give equal rows, null and empty texts have no tokens, very long ones are counted
+    whole, an empty table gives no rows, and other columns, whatever their names, play no part.
     """
 
     def make():
