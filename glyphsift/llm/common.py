@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Rows of a batch that Spark hands to Python, unless the session says otherwise than Spark does: texts may be long, and
 #: both sides hold a batch whole.
 BATCH, SPARKS_BATCH = 256, "10000"
-#: Keys, of some 50 bytes each, up to which without() broadcasts them.
+#: Keys, of some 50 bytes each, up to which they are broadcast.
 BROADCAST_KEYS = 500_000
 
 
@@ -77,12 +77,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _keys(of: DataFrame, key: str) -> DataFrame:
+    """The distinct keys: up to BROADCAST_KEYS of them, which are counted, are broadcast, so that the rows they are joined to
+    stay where they are; more are joined by a shuffle."""
+    keys = checkpointed(of.select(key).distinct())
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return F.broadcast(fresh(keys)) if few else fresh(keys)
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """The rows whose key isn't in gone(key). Up to BROADCAST_KEYS of them, which are counted, are broadcast, so that
-    the rows stay where they are; more are joined by a shuffle."""
-    gone = checkpointed(gone.select(key).distinct())
-    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return rows.join(F.broadcast(fresh(gone)) if few else fresh(gone), key, "left_anti")
+    """The rows whose key isn't in gone(key)."""
+    return rows.join(_keys(gone, key), key, "left_anti")
+
+
+def only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in wanted(key)."""
+    return rows.join(_keys(wanted, key), key, "left_semi")
 
 
 def once(rows: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
@@ -91,6 +101,6 @@ def once(rows: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
     if repeated.isEmpty():
         return rows
     parts = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
-    first = rows.join(fresh(repeated), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns if c != key)), F.xxhash64(*parts)).alias("_row"))
+    first = only(rows, repeated, key).groupBy(key).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns if c != key)), F.xxhash64(*parts)).alias("_row"))
     chosen = first.select(*(F.col(key) if c == key else F.col("_row")[c].alias(c) for c in rows.columns))
     return without(rows, repeated, key).union(chosen)
