@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import KEPT, map_rows
 
 #: Fixed values of the tokenizer file's format: white space of its \s, and the byte-level alphabet, which
 #: shows printable bytes as themselves and the others, in order, from U+0100.
@@ -168,6 +168,9 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+KEPT.append(tokenizer.cache_clear)
+
+
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row's whole text.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -29,13 +31,35 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH))
 
 
+#: What a worker keeps between tasks, by what empties it; and the operator that it last ran.
+KEPT: list[Callable[[], None]] = []
+LAST = {"operator": ""}
+
+
+def give_back() -> None:
+    """Returns memory that is free to the machine, where the C library can: workers stay, and what one operator needed for
+    a while would else be missing to the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def entering(operator: str) -> None:
+    """Empties what other operators have kept in this worker."""
+    if LAST["operator"] != operator:
+        LAST["operator"] = operator
+        for empty in KEPT:
+            empty()
+        give_back()
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., Any]], step: int = 256) -> DataFrame:
     """Applies a Python function to lists of values, Arrow batches in and out.
 
     make() runs once for each task and returns f(*lists), which gets lists of the columns' values and
     returns one list for each column of schema. A batch is worked through in runs of `step` rows, so what
-    Python holds as objects stays bounded however many rows Spark puts into an Arrow batch. What Arrow holds and doesn't
-    use is given back at a task's end, as workers stay.
+    Python holds as objects stays bounded however many rows Spark puts into an Arrow batch. What is free is
+    given back at a task's end, as workers stay.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -43,13 +67,20 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     out = to_arrow_schema(_parse_datatype_string(schema))
     small_batches(df.sparkSession)
 
+    who = make.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # By import, as a function that is sent along has globals of its own.
+        from glyphsift.llm import common
+
+        common.entering(who)
         f = make()
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(f(*(c.to_pylist() for c in part.columns)), out, strict=True)], schema=out)
-        pa.default_memory_pool().release_unused()
+        del f
+        common.give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, kept, scored
+from .common import KEPT, held_out, kept, scored
 from .pieces import MARK, Pieces, best_path, forward, words_of
 
 #: Documents of each language to learn from, at most, fewer where languages are so many that they would be over
@@ -25,6 +25,9 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+KEPT.append(pieces.cache_clear)
+
+
 class LanguageModel:
     """Log-probabilities of words in each language, and of texts as their words' sums."""
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import KEPT, map_rows
 
 #: Fixed values of the unigram tokenizer: what an unknown character scores below the least piece, and the
 #: mark that stands for a space and before a text.
@@ -133,6 +133,9 @@ def counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
 
+KEPT.append(counter.cache_clear)
+
+
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, n_chars) of every row's whole text.
 

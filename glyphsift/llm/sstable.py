@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..shared import folder as shared_folder
 from .bpe import BYTE_CHARS
-from .common import small_batches
+from .common import KEPT, small_batches
 
 MAGIC, FOOTER = b"GSSTABLE", struct.Struct("<5Q2I8s")
 BLOCK_BYTES, BLOOM_BITS, BLOOM_PROBES = 1 << 16, 10, 7
@@ -244,6 +244,9 @@ def encoder(path: str) -> CachedEncoder:
     return CachedEncoder(path)
 
 
+KEPT.append(encoder.cache_clear)
+
+
 #: Schemes of Hadoop's file systems, and those that Arrow has for the same stores.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}
 

@@ -69,6 +69,14 @@ def _ratio(with_gram: np.ndarray) -> np.ndarray:
     return np.log(shares[1]) - np.log(shares[0])
 
 
+def _sums(at: np.ndarray, value: np.ndarray, other: np.ndarray, of: np.ndarray, n: int, step: int = 1 << 20) -> np.ndarray:
+    """Sums by `at` of value times what `other` has at `of`, a stretch at a time, as numpy copies what it sums."""
+    total = np.zeros(n)
+    for k in range(0, len(at), step):
+        total += np.bincount(at[k : k + step], value[k : k + step] * other[of[k : k + step]], minlength=n)
+    return total
+
+
 def _solve(row: np.ndarray, index: np.ndarray, value: np.ndarray, toxic: np.ndarray, use: np.ndarray, columns: int, rounds: int, decay: float = DECAY) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on the rows in use, by AdaGrad over all of them at once. The first steps move
     the margin of a row of mean length by RATE at most, so that it stays in bounds however many grams rows have."""
@@ -77,9 +85,9 @@ def _solve(row: np.ndarray, index: np.ndarray, value: np.ndarray, toxic: np.ndar
     rate = RATE / max(1.0, float(np.abs(value).sum()) / len(toxic))
     seen_w, seen_b = np.full(columns, 1e-8), 1e-8
     for _ in range(rounds):
-        margin = b + np.bincount(row, value * w[index], minlength=len(toxic))
+        margin = b + _sums(row, value, w, index, len(toxic))
         error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - toxic) * use
-        step = np.bincount(index, value * error[row], minlength=columns) / n + decay * w
+        step = _sums(index, value, error, row, columns) / n + decay * w
         step_b = error.sum() / n
         seen_w += step**2
         seen_b += step_b**2
@@ -149,7 +157,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, weights: tuple[f
             continue
         value = values(f + 1)
         w, b = _solve(row, index, value, toxic, seen, len(picked), rounds)
-        margins[~seen] = (b + np.bincount(row, value * w[index], minlength=n))[~seen]
+        margins[~seen] = (b + _sums(row, value, w, index, n))[~seen]
         del value
     w, b = _solve(row, index, values(0), toxic, every, len(picked), rounds)
     out[picked] = w * ratios[0]
@@ -161,6 +169,7 @@ def _fitted(weights: tuple[float, float]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = sorted((i, t, x) for b in batches for i, t, x in zip(b["doc_id"], b["toxic"], b["text"], strict=True))
         model = fit([r[2] for r in rows], [int(r[1]) for r in rows], weights=weights)
+        del rows
         yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
     return run
