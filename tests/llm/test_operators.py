@@ -128,6 +128,45 @@ def test_near_dedup_of_planted_near_copies(spark, monkeypatch, block):
     assert sorted(x.doc_id for x in got) == want
 
 
+def plain_segments(hashes):
+    """Segments of the weighted fingerprints, bit by bit."""
+    mask, out = (1 << 64) - 1, []
+    for draw in simhash.DRAWS[:, 0].tolist():
+        votes = [0.0] * 8
+        for h in hashes:
+            x = h + draw & mask
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+            x ^= x >> 31
+            weight = 1 / ((x >> 11) + 1) ** 2
+            votes = [v + (weight if x >> j & 1 else -weight) for j, v in enumerate(votes)]
+        out.append(sum(1 << j for j, v in enumerate(votes) if v > 0))
+    return [int.from_bytes(out[k : k + 4], "little", signed=True) for k in range(0, len(out), 4)]
+
+
+def test_weighted_segments():
+    draw = np.random.default_rng(8)
+    for n in (1, 2, 7, 700):
+        hashes = draw.integers(0, 1 << 64, n, np.uint64)
+        assert simhash.segments(hashes) == plain_segments(hashes.tolist())
+    assert simhash.segments(np.zeros(0, np.uint64)) == []
+    # Shares of equal segments, of sets of a and b shingles with c in common.
+    for a, b, c, least, most in [(5, 4, 4, 0.21, 0.25), (9, 9, 8, 0.23, 0.27), (90, 72, 72, 0.25, 0.29), (180, 180, 160, 0.25, 0.29), (100, 100, 18, 0, 0.002)]:
+        pairs = [draw.integers(0, 1 << 64, a + b - c, np.uint64) for _ in range(300)]
+        equal = np.array([np.equal(simhash.segments(h[:a]), simhash.segments(h[a - c :])) for h in pairs])
+        assert least <= equal.mean() <= most
+        assert equal.any(axis=1).all() or c == 18
+
+
+def test_near_copies_are_looked_up_by_segments(spark, monkeypatch):
+    base = prose(150, 77)
+    df = spark.createDataFrame([(1, base), (2, base.replace(" ", "\t")), (3, base + " changed"), (4, prose(150, 78))], DOCS)
+    kept = lambda: sorted(r.doc_id for r in simhash.near_dedup(df).collect())
+    assert kept() == [1, 4]
+    monkeypatch.setattr(simhash, "segments", lambda hashes: [])
+    assert kept() == [1, 3, 4]
+
+
 # Tokens
 
 
