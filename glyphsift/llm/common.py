@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import checkpointed, fresh
+from ..shared import checkpointed, for_one_action, fresh
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,7 +112,8 @@ def _keys(of: DataFrame, key: str) -> DataFrame:
     """The distinct keys: up to BROADCAST_KEYS of them, which are counted, are broadcast, so that the rows they are joined to
     stay where they are; more are joined by a shuffle."""
     keys = checkpointed(of.select(key).distinct())
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    with for_one_action(keys.sparkSession):
+        few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     return F.broadcast(fresh(keys)) if few else fresh(keys)
 
 

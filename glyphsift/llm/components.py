@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import checkpointed
+from ..shared import checkpointed, discard, for_one_action
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,6 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     that the number of rounds grows with the logarithm of a component's size and no neighbourhood is ever
     gathered. Minima are taken by partial aggregation; the rows of a hub are spread by the skew join. Only
     the number of edges and a sum of their hashes come to the driver, to see that a round changed nothing.
+    A round's edges go from disk once the next round's are there.
     An empty graph gives an empty result. Loops, repeated edges and edges with a null end are left out.
     """
     # What gives the edges is run once, not in each of the plans that read them.
@@ -26,8 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        e = checkpointed(small.select("e.*").where("u != v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        last, e = e, checkpointed(small.select("e.*").where("u != v").distinct())
+        discard(last)
+        with for_one_action(e.sparkSession):
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
